@@ -2,21 +2,25 @@
 
 Each record gets the key ``-ln(u) / weight`` of Efraimidis and Spirakis, with
 ``u`` from a hash of the record, so a rerun draws the same. Sorted by key within
-its source, the shortest prefix of records whose token sum reaches the budget is
-the weighted sample. A source whose budget exceeds its size is used in complete
+its source, the prefix of records whose token sum stays within the budget is the
+weighted sample; a record too large for what is left is passed over and the next
+that fit fill the rest, so one long record can't leave a small source short. A source whose budget exceeds its size is used in complete
 epochs first and only the remainder is drawn.
 
 No source is ever sorted as a whole: token sums by key bin give the prefix sum up
 to the bin in which the budget is reached; that bin is divided again until it
-holds few records, and only those are ranked.
+and its successors hold at most ``rank_rows`` records, and only those are ranked.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from marlstone.runtime import staged
@@ -52,8 +56,7 @@ def mix(
     leaves short sources at their cap, which the report shows. Sources without a
     target, or with a null name, are left out; sources with a target and no
     tokens get share 0. Records of null or zero tokens are never chosen. A null
-    weight counts as the least. Repeated records are drawn each on its own. The
-    record at which the budget is crossed is chosen if that comes nearer to it.
+    weight counts as the least. Repeated records are drawn each on its own.
     """
     spark = records.sparkSession
     wanted = {r["source"]: (float(r["targetshare"] or 0), int(r["maxrepeats"] or 0)) for r in targets.where(F.col("source").isNotNull()).limit(10_000).collect()}
@@ -78,7 +81,7 @@ def mix(
 
     # [low, high) of the bin in which the budget is reached, tokens before it, and its records
     span = {s: (0.0, math.nextafter(sums[s][1], math.inf), 0, None) for s, b in rest.items() if b > 0}
-    busy = dict(span)
+    busy, tail = dict(span), {}
     while busy:
         at = _lookup(spark, [(s, lo, hi) for s, (lo, hi, _, _) in busy.items()], "source string, lo double, hi double")
         found = (
@@ -89,12 +92,17 @@ def mix(
             .collect()
         )
         for s in list(busy):
-            before = busy[s][2]
+            before, reached = busy[s][2], None
             for r in sorted((r for r in found if r["source"] == s), key=lambda r: r["bin"]):
-                if before + r["t"] >= rest[s]:
-                    span[s] = (r["first"], math.nextafter(r["last"], math.inf), before, r["n"])
+                if reached is None and before + r["t"] >= rest[s]:
+                    reached = span[s] = (r["first"], math.nextafter(r["last"], math.inf), before, r["n"])
+                    tail[s], many = span[s][1], r["n"]
+                elif reached is None:
+                    before += r["t"]
+                elif many + r["n"] <= rank_rows:
+                    tail[s], many = math.nextafter(r["last"], math.inf), many + r["n"]
+                else:
                     break
-                before += r["t"]
             if span[s][3] <= rank_rows or span[s][0] >= math.nextafter(span[s][1], -math.inf):
                 del busy[s]
             else:
@@ -102,19 +110,25 @@ def mix(
 
     plan = _lookup(
         spark,
-        [(s, epochs[s], *(span[s][:3] if s in span else (0.0, 0.0, 0)), rest[s]) for s in budget],
-        "source string, epochs long, lo double, hi double, before long, rest long",
+        [(s, epochs[s], *((span[s][0], tail[s], rest[s] - span[s][2]) if s in span else (0.0, 0.0, 0))) for s in budget],
+        "source string, epochs long, lo double, hi double, open long",
     )
     placed = base.join(F.broadcast(plan), "source")
-    edge = placed.where((F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi")))
-    w = Window.partitionBy("source").orderBy("key", "record").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("upto", F.col("before") + F.sum("tokens").over(w))
-    over = F.col("upto") - F.col("rest")
-    taken = (over <= 0) | ((over < F.col("tokens")) & (over * 2 < F.col("tokens")))
+    edge = placed.where((F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi"))).select("record", "source", "tokens", "key", "epochs", "open")
+
+    def filled(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["key", "record"], kind="stable")
+        room, extra = int(group["open"].iloc[0]), []
+        for size in group["tokens"].tolist():
+            extra.append(size <= room)
+            room -= size if size <= room else 0
+        return pd.DataFrame({"record": group["record"], "source": group["source"], "tokens": group["tokens"], "repeats": group["epochs"] + np.array(extra, dtype=np.int64)})
+
+    drawn = edge.groupBy("source").applyInPandas(filled, T.StructType([base.schema["record"], base.schema["source"], base.schema["tokens"], T.StructField("repeats", T.LongType())]))
     outside = placed.where(~((F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi"))))
     chosen = (
         outside.select("record", "source", "tokens", (F.col("epochs") + (F.col("key") < F.col("lo")).cast("long")).alias("repeats"))
-        .unionByName(edge.select("record", "source", "tokens", (F.col("epochs") + taken.cast("long")).alias("repeats")))
+        .unionByName(drawn)
         .where(F.col("repeats") > 0)
     )
     known = _lookup(
