@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.codes import denoted_code, denoted_sql, family_key
 from marlstone.llm.caps import cap_contributors
 from marlstone.llm.mixing import mix, quality_weight
+from marlstone.llm.mojibake import restore_garbled
 from marlstone.llm.overlap import cross_split_overlaps
 from marlstone.llm.packing import pack
 from marlstone.llm.tokens import token_count
@@ -37,6 +38,20 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return restore_garbled(table(spark, d, "facts").select("ingestid", "rawtext"), "rawtext")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Facts whose rawtext holds the result of a wrong decoding."""
+    return _judged(spark, d).where("garbled").select("ingestid").distinct()
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled facts with their text as far as it can be restored."""
+    return _judged(spark, d).where("garbled").select("ingestid", "rawtext", "restored", "complete")
+
+
 def _capped(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "v4_2_train_pairs_a").select("pairid", "label", denoted_code(F.col("companycode")).alias("code"), family_key(F.col("queryfamily")).alias("family"))
     return cap_contributors(rows, [F.col("code"), F.col("family")], F.col("label"), F.col("pairid"), cap=CAP, bin_of=F.col("label"))
@@ -86,6 +101,8 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
     "p4_found": p4_found,
     "p4_report": p4_report,
     "p6_packed": p6_packed,
