@@ -331,7 +331,7 @@ class Detector:
 
     def restored(self, text: str) -> tuple[bool, str, bool]:
         """(garbled, text with matched spans replaced, nothing lost); garbled text may have been garbled twice."""
-        garbled, whole = False, True
+        garbled, whole = False, not any(x in text for x in ("�", "锟斤拷", "ï¿½"))
         for _ in range(3):
             spans = self.spans(text)
             if not spans:
@@ -344,8 +344,7 @@ class Detector:
                 parts += [text[at:start], text[start:end] if new is None else new]
                 at = end
             text = "".join(parts) + text[at:]
-        whole = not self.spans(text) if garbled else True
-        return garbled, text, whole
+        return garbled, text, not garbled or (whole and not self.spans(text))
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
