@@ -9,6 +9,7 @@ from marlstone.functions.codes import denoted_code, denoted_sql, family_key
 from marlstone.llm.caps import cap_contributors
 from marlstone.llm.mixing import mix, quality_weight
 from marlstone.llm.mojibake import restore_garbled
+from marlstone.llm.near_duplicates import components, pairs_of_items, similar_texts
 from marlstone.llm.overlap import cross_split_overlaps
 from marlstone.llm.packing import pack
 from marlstone.llm.tokens import token_count
@@ -69,6 +70,25 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return out.where(F.col("rows_cut") > 0)
 
 
+def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    facts = table(spark, d, "facts").select("factid", "rawtext")
+    return similar_texts(restore_garbled(facts, "rawtext").where(~F.col("garbled")), "factid", "rawtext")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of facts with nearly the same text, garbled texts left aside."""
+    return pairs_of_items(*_similar(spark, d)).select(F.col("item_a").alias("factid_a"), F.col("item_b").alias("factid_b"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each fact's group (its least class number) and its class's links; a fact whose texts have no relatives is a group of its own."""
+    members, links = _similar(spark, d)
+    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
+    roots = components(links).select(F.col("node").alias("key"), "root")
+    each = members.join(roots, "key", "left").join(degree, "key", "left")
+    return each.groupBy(F.col("item").alias("factid")).agg(F.min(F.coalesce("root", "key")).alias("group_id"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"))
+
+
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     """Every document's container for each size of pack_capacities."""
     docs = table(spark, d, "documents").select("doc_id", token_count(F.col("text")).alias("tokens"))
@@ -105,6 +125,8 @@ QUERIES = {
     "p3_restored": p3_restored,
     "p4_found": p4_found,
     "p4_report": p4_report,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
     "p7_mixed": p7_mixed,
