@@ -12,6 +12,7 @@ from marlstone.llm.mojibake import restore_garbled
 from marlstone.llm.near_duplicates import components, pairs_of_items, similar_texts
 from marlstone.llm.overlap import cross_split_overlaps
 from marlstone.llm.packing import pack
+from marlstone.llm.residue import find_residue
 from marlstone.llm.tokens import token_count
 from marlstone.tables import table
 
@@ -118,6 +119,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def _residue(spark: SparkSession, d: str) -> DataFrame:
+    return find_residue(table(spark, d, "documents").select("doc_id", "source", "text"), "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold residue in place of content."""
+    return _residue(spark, d).where("residue").select("doc_id").distinct()
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, and those with each kind of residue, per source."""
+    rows = _residue(spark, d)
+    kinds = [F.count_if(F.array_contains("kinds", k)).alias(f"with_{k}") for k in ("slot", "notice", "filler")]
+    return rows.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("residue").alias("with_residue"), *kinds, F.count_if(F.col("coverage") >= 0.5).alias("mostly_residue"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
@@ -131,6 +148,8 @@ QUERIES = {
     "p6_fill": p6_fill,
     "p7_mixed": p7_mixed,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
 }
 
 _FAMILY = "regexp_replace(upper(queryfamily), '[^\\p{L}\\p{N}]+', '', 'g')"
