@@ -29,4 +29,21 @@ def shingle_codes(text: str, n: int) -> np.ndarray:
     code = points[: len(points) - n + 1].copy()
     for k in range(1, n):
         code = (code << 21) | points[k : len(points) - n + 1 + k]
-    return np.unique(code)
+    code.sort()
+    first = np.empty(len(code), dtype=bool)
+    first[0] = True
+    np.not_equal(code[1:], code[:-1], out=first[1:])
+    return code[first]
+
+
+def all_codes(texts: list[str], n: int) -> np.ndarray:
+    """The codes of all ``n``-character substrings of many texts, as often as they occur."""
+    joined = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    if len(joined) < n:
+        return joined[:0]
+    code, inside = joined[: len(joined) - n + 1].copy(), joined[: len(joined) - n + 1] != 0
+    for k in range(1, n):
+        part = joined[k : len(joined) - n + 1 + k]
+        code = (code << 21) | part
+        inside &= part != 0
+    return code[inside]
