@@ -190,6 +190,7 @@ class Detector:
         self.log = {c: math.log((n + 0.5) / (texts + 1)) for c, n in chars.items()}
         self.sides = sides
         self.usual = math.log(0.003)
+        self.told: dict[tuple[str, str, str], str | None] = {}
 
     def mean(self, text: str) -> float:
         return sum(self.log.get(c, self.floor) for c in text) / max(1, len(text))
@@ -314,21 +315,23 @@ class Detector:
         """Signs that became one character, told by their neighbours."""
         out = []
         for m in tab.watched.finditer(text):
-            signs = tab.single.get(m.group())
-            if not signs:
-                continue
             i, now = m.start(), m.group()
-            before, after = _side(text[i - 1]) if i else "", _side(text[i + 1]) if i + 1 < len(text) else ""
-            best, sign = 2.4, None
-            as_is = math.log(self.sides.get((now, before, True), 0) + 0.5) + math.log(self.sides.get((now, after, False), 0) + 0.5)
-            for s in signs:
-                score = math.log(self.sides.get((s, before, True), 0) + 0.5) + math.log(self.sides.get((s, after, False), 0) + 0.5) - as_is
-                if score > best:
-                    best, sign = score, s
-            if sign is not None:
-                out.append((i, i + 1, sign))
+            if now in tab.single:
+                seen = now, _side(text[i - 1]) if i else "", _side(text[i + 1]) if i + 1 < len(text) else ""
+                if seen not in self.told:
+                    self.told[seen] = self._sign(*seen, tab.single[now])
+                if self.told[seen] is not None:
+                    out.append((i, i + 1, self.told[seen]))
         return out
 
+    def _sign(self, now: str, before: str, after: str, signs: list[str]) -> str | None:
+        weight = lambda s: math.log(self.sides.get((s, before, True), 0) + 0.5) + math.log(self.sides.get((s, after, False), 0) + 0.5)
+        best, sign = 2.4 + weight(now), None
+        for s in signs:
+            if (w := weight(s)) > best:
+                best, sign = w, s
+        return sign
+
     def restored(self, text: str) -> tuple[bool, str, bool]:
         """(garbled, text with matched spans replaced, nothing lost); garbled text may have been garbled twice."""
         garbled, whole = False, not any(x in text for x in ("�", "锟斤拷", "ï¿½"))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import cleaned, shingle_codes
+from marlstone.functions.text import all_codes, cleaned, shingle_codes
 from marlstone.llm.bitslice import block_pairs, parity_sketches
 from marlstone.runtime import join_lookup, staged
 
@@ -43,7 +43,7 @@ HOT = 20_000
 BLOCK_ENTRIES = 1_500_000
 LEAST_BLOCKS = 12
 #: Sketch bits and largest set of the first size class; each further class is four times either.
-WIDTH, LARGEST = 192, 256
+WIDTH, LARGEST = 192, 320
 BUNDLE_DOCS = 16_384
 
 
@@ -69,8 +69,11 @@ def _batches_of_classes(batches: Iterator[pd.DataFrame], n: int) -> Iterator[tup
         b = b.drop_duplicates("key")
         for at in range(0, len(b), BUNDLE_DOCS):
             part = b.iloc[at : at + BUNDLE_DOCS]
-            sets = [_mixed(shingle_codes(t, n)) for t in part["text"]]
-            yield part["key"].to_numpy(), sets, np.array([len(s) for s in sets], dtype=np.int64)
+            sets = [shingle_codes(t, n) for t in part["text"]]
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            ends = np.cumsum(sizes)
+            flat = _mixed(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.uint64)
+            yield part["key"].to_numpy(), [flat[b - n_ : b] for b, n_ in zip(ends.tolist(), sizes.tolist(), strict=True)], sizes
 
 
 def _bundle(keys: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, entries: np.ndarray, token: np.ndarray, flags: np.ndarray) -> bytes:
@@ -107,19 +110,21 @@ class Poster:
         return [level, level + 1] if size >= self.t * ((LARGEST << (2 * level)) + 1) - 1e-9 else [level]
 
     def rows(self, keys: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-        t, docs, tokens, spots = self.t, [], [], []
-        for i, s in enumerate(sets):
-            size = len(s)
-            rarity = self.counts[_bucket(s)]
-            prefix = size - math.ceil(t * size - 1e-9) + 1
-            order = np.lexsort((s, rarity))[:prefix]
-            spot = np.flatnonzero(rarity[order] > 1)
-            docs.append(np.full(len(spot), i))
-            tokens.append(s[order[spot]])
-            spots.append(spot)
-        if not docs:
+        if not len(sets):
             return
-        doc, token, spot = np.concatenate(docs), np.concatenate(tokens), np.concatenate(spots)
+        flat = np.concatenate(sets)
+        rarity = self.counts[_bucket(flat)].astype(np.uint64)
+        # rarest first, then by token; of tokens alike in both parts of the key the order of the codes decides, in every text
+        rank = (rarity << np.uint64(33)) | (flat >> np.uint64(31))
+        prefix = sizes - np.ceil(self.t * sizes - 1e-9).astype(np.int64) + 1
+        starts = np.cumsum(sizes) - sizes
+        picks = [a + np.argsort(rank[a : a + n], kind="stable")[:k] for a, n, k in zip(starts.tolist(), sizes.tolist(), prefix.tolist(), strict=True)]
+        lengths = np.array([len(x) for x in picks])
+        pick = np.concatenate(picks)
+        doc = np.repeat(np.arange(len(sets)), lengths)
+        spot = np.arange(len(pick)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        shared = rarity[pick] > 1
+        doc, token, spot = doc[shared], flat[pick[shared]], spot[shared]
         level_of = [self._size_classes(int(x)) for x in sizes]
         for level in sorted({x for own in level_of for x in own}):
             member = np.array([level in own for own in level_of])
@@ -216,9 +221,8 @@ def similar_texts(rows: DataFrame, item: str, text: str, threshold: float = 0.7,
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-        for _, sets, _ in _batches_of_classes(batches, n):
-            if sets:
-                held += np.bincount(_bucket(np.concatenate(sets)), minlength=len(held))
+        for b in batches:
+            held += np.bincount(_bucket(_mixed(all_codes(b.drop_duplicates("key")["text"].tolist(), n))), minlength=len(held))
         at = np.flatnonzero(held)
         yield pd.DataFrame({"bucket": at.astype(np.int32), "n": held[at]})
 
