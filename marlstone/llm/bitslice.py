@@ -90,28 +90,29 @@ class Counters:
 def within_radius(planes: np.ndarray, word: np.ndarray, query: np.ndarray, radius: np.ndarray, valid: np.ndarray) -> np.ndarray:
     """For work items (word, query sketch, radius, lanes that count): bits of the lanes within the radius."""
     width, n = planes.shape[0], len(word)
-    bits = np.ascontiguousarray(np.unpackbits(query, axis=1, bitorder="little").T)
     counters = Counters(n, max(4, int(width).bit_length()))
     out, live = np.zeros(n, dtype=np.uint64), np.arange(n)
-    fresh = lambda m: [np.empty(m, dtype=np.uint64) for _ in range(8)]
-    data, spare, mask = fresh(n), fresh(n), np.empty(n, dtype=np.uint64)
-    checks = {width * 2 // 3 // 8 * 8, width * 5 // 6 // 8 * 8}
-    for p in range(0, width, 8):
-        for k in range(8):
-            np.take(planes[p + k], word, out=data[k], mode="clip")
-            np.negative(bits[p + k], dtype=np.int64, casting="unsafe", out=mask.view(np.int64))
-            np.bitwise_xor(data[k], mask, out=data[k])
-        counters.add8(data, spare)
-        if p + 8 in checks:
-            going = np.flatnonzero(~counters.over(radius) & valid)
-            if len(going) < 0.7 * len(word):
-                live, word, radius, valid = live[going], word[going], radius[going], valid[going]
-                bits = np.ascontiguousarray(bits[:, going])
-                counters.keep(going)
-                data, spare, mask = fresh(len(going)), fresh(len(going)), np.empty(len(going), dtype=np.uint64)
-                if not len(going):
-                    return out
-    out[live] = ~counters.over(radius) & valid
+    stops = [0, width * 2 // 3 // 8 * 8, width * 5 // 6 // 8 * 8, width]
+    for begin, end in zip(stops, stops[1:], strict=False):
+        # only as many bits of the queries as this stage needs, and only of those still compared
+        bits = np.ascontiguousarray(np.unpackbits(query[:, begin // 8 : end // 8], axis=1, bitorder="little").T)
+        m = len(word)
+        data, spare, mask = [np.empty(m, dtype=np.uint64) for _ in range(8)], [np.empty(m, dtype=np.uint64) for _ in range(8)], np.empty(m, dtype=np.uint64)
+        for p in range(begin, end, 8):
+            for k in range(8):
+                np.take(planes[p + k], word, out=data[k], mode="clip")
+                np.negative(bits[p - begin + k], dtype=np.int64, casting="unsafe", out=mask.view(np.int64))
+                np.bitwise_xor(data[k], mask, out=data[k])
+            counters.add8(data, spare)
+        near = ~counters.over(radius) & valid
+        if end == width:
+            out[live] = near
+        else:
+            going = np.flatnonzero(near)
+            live, word, query, radius, valid = live[going], word[going], query[going], radius[going], valid[going]
+            counters.keep(going)
+            if not len(going):
+                break
     return out
 
 
@@ -123,18 +124,17 @@ def radius_of(sizes: np.ndarray, threshold: float) -> np.ndarray:
 def block_pairs(sketches: np.ndarray, sizes: np.ndarray, doc: np.ndarray, token: np.ndarray, lane: np.ndarray, probe: np.ndarray, most: np.ndarray, threshold: float) -> np.ndarray:
     """Pairs (a, b), a < b, of documents that share a token and lie within the radius.
 
-    An entry is (doc, token, lane?, probe?, most): as a lane it can be found, as a
+    ``token`` are non-negative and below 2^31. An entry is (doc, token, lane?, probe?, most): as a lane it can be found, as a
     probe it looks for lanes of its token that come before it in the order of
     (size, doc), of sizes from ``threshold * size`` up to ``most``.
     """
-    order = np.lexsort((doc, sizes[doc], token))
-    doc, token, lane, probe, most = doc[order], token[order], lane[order], probe[order], most[order]
-    _, dense = np.unique(token, return_inverse=True)
     rank = np.empty(len(sizes), dtype=np.int64)
-    rank[np.lexsort((np.arange(len(sizes)), sizes))] = np.arange(len(sizes))
+    rank[np.argsort(sizes, kind="stable")] = np.arange(len(sizes))
     by_size = np.sort(sizes)
     span = len(sizes) + 1
-    key = dense * span + rank[doc]
+    key = token * span + rank[doc]
+    order = np.argsort(key)
+    doc, dense, key, lane, probe, most = doc[order], token[order], key[order], lane[order], probe[order], most[order]
     lanes = np.flatnonzero(lane)
     lane_key, lane_doc = key[lanes], doc[lanes]
     q = np.flatnonzero(probe)

@@ -191,10 +191,16 @@ class Detector:
         self.sides = sides
         self.usual = math.log(0.003)
         self.told: dict[tuple[str, str, str], str | None] = {}
+        # a sign the corpus nowhere has can't be told by its neighbours
+        possible = [g for g, signs in tables().single.items() if any(x in chars for x in signs)]
+        self.possible = re.compile("[" + re.escape("".join(sorted(possible))) + "]" if possible else "(?!)")
 
     def mean(self, text: str) -> float:
         return sum(self.log.get(c, self.floor) for c in text) / max(1, len(text))
 
+    def is_garbled(self, text: str) -> bool:
+        return bool(self.spans(text))
+
     def spans(self, text: str) -> list[tuple[int, int, str | None]]:
         """(start, end, restored or None where lost) of the garbled spans, in order, disjoint."""
         tab, found = tables(), []
@@ -314,14 +320,13 @@ class Detector:
     def _signs(self, text: str, tab: Tables) -> list[tuple[int, int, str | None]]:
         """Signs that became one character, told by their neighbours."""
         out = []
-        for m in tab.watched.finditer(text):
+        for m in self.possible.finditer(text):
             i, now = m.start(), m.group()
-            if now in tab.single:
-                seen = now, _side(text[i - 1]) if i else "", _side(text[i + 1]) if i + 1 < len(text) else ""
-                if seen not in self.told:
-                    self.told[seen] = self._sign(*seen, tab.single[now])
-                if self.told[seen] is not None:
-                    out.append((i, i + 1, self.told[seen]))
+            seen = now, _side(text[i - 1]) if i else "", _side(text[i + 1]) if i + 1 < len(text) else ""
+            if seen not in self.told:
+                self.told[seen] = self._sign(*seen, tab.single[now])
+            if self.told[seen] is not None:
+                out.append((i, i + 1, self.told[seen]))
         return out
 
     def _sign(self, now: str, before: str, after: str, signs: list[str]) -> str | None:

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -200,18 +200,25 @@ def _compare(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def similar_texts(rows: DataFrame, item: str, text: str, threshold: float = 0.7, n: int = 3, min_chars: int = 40) -> tuple[DataFrame, DataFrame]:
+def similar_texts(
+    rows: DataFrame, item: str, text: str, threshold: float = 0.7, n: int = 3, min_chars: int = 40, leave_out: Callable[[str], bool] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(members, links). members: item, key - each item with the class of each of its texts of at
     least ``min_chars`` cleaned characters; links: a, b, similarity - every pair of different classes,
     a < b, whose sets of ``n``-character substrings have a Jaccard similarity of at least ``threshold``.
 
-    Null items and null, empty or too short texts are left out. An item may have
+    Null items and null, empty or too short texts are left out, and those for
+    which ``leave_out`` is true; it runs on the executors. An item may have
     several texts, and be repeated. Texts of any length are used whole.
     """
     spark = rows.sparkSession
+    skip = spark.sparkContext.broadcast(leave_out)
 
     def tidy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out_of_it = skip.value
         for b in batches:
+            if out_of_it is not None:
+                b = b[[not out_of_it(t) for t in b["text"]]]
             out = pd.DataFrame({"item": b["item"], "text": b["text"].map(cleaned)})
             out = out[out["text"].str.len() >= min_chars]
             yield out.assign(key=[_class_of(t) for t in out["text"]])[["item", "key", "text"]].astype({"key": "int64"})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.codes import denoted_code, denoted_sql, family_key
 from marlstone.llm.caps import cap_contributors
 from marlstone.llm.mixing import mix, quality_weight
-from marlstone.llm.mojibake import restore_garbled
+from marlstone.llm.mojibake import detector, restore_garbled
 from marlstone.llm.near_duplicates import components, pairs_of_items, similar_texts
 from marlstone.llm.overlap import cross_split_overlaps
 from marlstone.llm.packing import pack
@@ -73,7 +73,7 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     facts = table(spark, d, "facts").select("factid", "rawtext")
-    return similar_texts(restore_garbled(facts, "rawtext").where(~F.col("garbled")), "factid", "rawtext")
+    return similar_texts(facts, "factid", "rawtext", leave_out=detector(facts, "rawtext").is_garbled)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
