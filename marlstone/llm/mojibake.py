@@ -72,6 +72,7 @@ COMMON = frozenset(HAN) | frozenset(SIGNS) | frozenset(map(chr, range(32, 127)))
 _PLAIN_SIGNS = "、。，；：？！（）“”‘’「」『』【】《》〈〉〔〕—–…·℃％＋－．／～"
 _SUSPECT = re.compile("[^\\x09-\\x0d\\x20-\\x7e" + re.escape("".join(HAN)) + re.escape(_PLAIN_SIGNS) + "０-９Ａ-Ｚａ-ｚ]")
 _LOST = regex.compile(r"[�\x00-\x08\x0e-\x1f\x7f\x80-\x84\x86-\x9f\p{Co}\p{Cn}]|锟斤拷|烫烫烫|屯屯屯|ï¿½")
+_LOST_WORDS = ("锟斤拷", "烫烫烫", "屯屯屯", "ï¿½")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WORD = regex.compile(r"(?:\p{Lu}?\p{Ll}+|\p{Lu}+)")
 
@@ -204,11 +205,15 @@ class Detector:
     def spans(self, text: str) -> list[tuple[int, int, str | None]]:
         """(start, end, restored or None where lost) of the garbled spans, in order, disjoint."""
         tab, found = tables(), []
-        if _SUSPECT.search(text):
-            found += [(m.start(), m.end(), None) for m in _LOST.finditer(text)]
+        odd = set(_SUSPECT.findall(text))
+        if odd or any(x in text for x in _LOST_WORDS):
+            if any(x in text for x in _LOST_WORDS) or any(_LOST.match(c) for c in odd):
+                found += [(m.start(), m.end(), None) for m in _LOST.finditer(text)]
             found += self._single_byte(text, tab)
-            found += self._runs(text)
-            found += [(m.start(), m.end(), None) for m in tab.anchored.finditer(text)]
+            if any(self.log.get(c, self.floor) <= self.usual for c in odd):
+                found += self._runs(text)
+            if not odd.isdisjoint(tab.anchors):
+                found += [(m.start(), m.end(), None) for m in tab.anchored.finditer(text)]
         found += self._signs(text, tab)
         out: list[tuple[int, int, str | None]] = []
         for start, end, new in sorted(found, key=lambda s: (s[0], -s[1], s[2] is None)):
@@ -277,7 +282,7 @@ class Detector:
         out = []
         for m in _RUN.finditer(text):
             run = m.group()
-            odd = [c for c in run if _SUSPECT.match(c)]
+            odd = _SUSPECT.findall(run)
             if not odd or all(self.log.get(c, self.floor) > self.usual for c in odd):
                 continue
             whole = (0, len(run)) if len(odd) >= max(1 + (len(run) > 6), 0.25 * len(run)) else None
@@ -356,20 +361,32 @@ class Detector:
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sides, texts = Counter(), 0
-    watched = tables().watched
-    held = np.zeros(CODE_POINTS, dtype=np.int64)
+    """Occurrences of each character, and neighbours of each watched one, of a partition."""
+    texts, held = 0, np.zeros(CODE_POINTS, dtype=np.int64)
+    watched = np.zeros(CODE_POINTS, dtype=bool)
+    watched[[ord(c) for c in tables().signs | set(tables().single)]] = True
+    kind = np.arange(CODE_POINTS, dtype=np.int64)
+    kind[0] = CODE_POINTS  # the edge of a text
+    kind[[x for x in range(0x20000) if chr(x).isdigit()]] = ord("0")
+    kind[[*range(65, 91), *range(97, 123)]] = ord("a")
+    triples: Counter = Counter()
     for b in batches:
         texts += len(b)
-        points = np.frombuffer("".join(b["text"]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        points = np.frombuffer(("\0" + "\0".join(b["text"]) + "\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         seen = np.bincount(points)
         held[: len(seen)] += seen
-        for text in b["text"]:
-            for m in watched.finditer(text):
-                i = m.start()
-                sides[text[i], _side(text[i - 1]) if i else "", "b"] += 1
-                sides[text[i], _side(text[i + 1]) if i + 1 < len(text) else "", "a"] += 1
-    rows = [(chr(c), "", "c", int(held[c])) for c in np.flatnonzero(held) if not 0xD800 <= c < 0xE000] + [(c, s, k, n) for (c, s, k), n in sides.items()] + [("", "", "n", texts)]
+        at = np.flatnonzero(watched[points])
+        for side, to in ((0, at - 1), (1, at + 1)):
+            codes, n = np.unique((points[at] * (CODE_POINTS + 1) + kind[points[to]]) * 2 + side, return_counts=True)
+            triples.update(dict(zip(codes.tolist(), n.tolist(), strict=True)))
+    held[0] = 0
+    rows = [(chr(c), "", "c", int(held[c])) for c in np.flatnonzero(held) if not 0xD800 <= c < 0xE000]
+    for code, n in triples.items():
+        pair, side = divmod(code, 2)
+        now, other = divmod(pair, CODE_POINTS + 1)
+        if not 0xD800 <= other < 0xE000:
+            rows.append((chr(now), "" if other == CODE_POINTS else chr(other), "a" if side else "b", n))
+    rows.append(("", "", "n", texts))
     yield pd.DataFrame(rows, columns=["ch", "side", "kind", "n"])
 
 
