@@ -155,16 +155,18 @@ QUERIES = {
 }
 
 
-def _tokens_sql(x: str) -> str:
-    low = f"lower(coalesce({x}, ''))"
-    han = f"regexp_extract_all({low}, '[\\x{{3400}}-\\x{{9fff}}]')"
-    return f"list_concat(list_concat(regexp_extract_all({low}, '[a-z0-9]+'), list_transform(range(1, len({han})), lambda i: {han}[i] || {han}[i + 1])), {han})"
+def _tokens_sql(table_: str, key: str, x: str, where: str = "true") -> str:
+    """key, tokens of a table; the Han characters are extracted once a row."""
+    return (
+        f"(SELECT k, list_concat(list_concat(w, list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])), c) AS tokens FROM "
+        f"(SELECT {key} AS k, regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+') AS w, regexp_extract_all(lower(coalesce({x}, '')), '[\\x{{3400}}-\\x{{9fff}}]') AS c FROM {table_} WHERE {where}))"
+    )
 
 
-_INDEX = f"""docs AS (SELECT doc_id AS doc, {_tokens_sql('text')} AS tokens FROM documents),
+_INDEX = f"""docs AS MATERIALIZED (SELECT k AS doc, tokens FROM {_tokens_sql('documents', 'doc_id', 'text')}),
 tot AS (SELECT count(*) AS n, avg(len(tokens)) AS mean_size FROM docs),
 tf AS (SELECT doc, size, term, count(*) AS tf FROM (SELECT doc, len(tokens) AS size, unnest(tokens) AS term FROM docs) GROUP BY ALL),
-q AS (SELECT DISTINCT query, term FROM (SELECT doc_id AS query, unnest({_tokens_sql('title')}) AS term FROM documents WHERE doc_id % 50 = 0)),
+q AS (SELECT DISTINCT query, term FROM (SELECT k AS query, unnest(tokens) AS term FROM {_tokens_sql('documents', 'doc_id', 'title', 'doc_id % 50 = 0')})),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 bm AS (SELECT query, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * size / mean_size))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term), tot GROUP BY query, doc),
 bm25 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM bm WHERE score > 0 QUALIFY rank <= 10),
@@ -179,7 +181,7 @@ con AS (SELECT query, doc, round(final, 6) AS final, row_number() OVER (PARTITIO
 _CODE = denoted_sql("companycode")
 
 SQL = {
-    "text_tokens": f"SELECT query_id, {_tokens_sql('query')} AS tokens, len({_tokens_sql('query')}) AS n FROM stage3_semiconductor_benchmark",
+    "text_tokens": f"SELECT k AS query_id, tokens, len(tokens) AS n FROM {_tokens_sql('stage3_semiconductor_benchmark', 'query_id', 'query')}",
     "text_bm25": f"WITH {_INDEX} SELECT query, doc, score, rank FROM bm25",
     "text_idf_overlap": f"WITH {_INDEX} SELECT query, doc, score, rank FROM overlap",
     "vector_nearest": f"WITH {_INDEX} SELECT query, doc, score, rank FROM nearest",
