@@ -6,12 +6,13 @@ the one step that leaves the JVM; it does so in Arrow batches.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
-import regex
 
-_OTHER = regex.compile(r"[^\p{L}\p{N}]+")
+#: All but letters and digits (classes L and N), which are what ``\w`` matches besides the low line.
+_OTHER = re.compile(r"[\W_]+")
 
 
 def cleaned(text: str | None) -> str:
