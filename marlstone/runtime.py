@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,3 +104,9 @@ def js_round(value: Column, digits: int = 0) -> Column:
     """``floor(v * 10^d + 0.5) / 10^d``: halves go up, for negatives as well."""
     scale = float(10**digits)
     return F.floor(value.cast("double") * scale + F.lit(0.5)) / F.lit(scale)
+
+
+def plain(rows: pd.DataFrame) -> pd.DataFrame:
+    """Text columns as Python objects, which Arrow takes in one piece, empty frames too."""
+    text = [c for c, t in rows.dtypes.items() if pd.api.types.is_string_dtype(t) or t == object]
+    return rows.astype(dict.fromkeys(text, object))
