@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from marlstone.runtime import staged
+from marlstone.runtime import plain, staged
 
 BINS = 1024
 RANK_ROWS = 50_000
@@ -122,7 +122,7 @@ def mix(
         for size in group["tokens"].tolist():
             extra.append(size <= room)
             room -= size if size <= room else 0
-        return pd.DataFrame({"record": group["record"], "source": group["source"], "tokens": group["tokens"], "repeats": group["epochs"] + np.array(extra, dtype=np.int64)})
+        return plain(pd.DataFrame({"record": group["record"], "source": group["source"], "tokens": group["tokens"], "repeats": group["epochs"] + np.array(extra, dtype=np.int64)}))
 
     drawn = edge.groupBy("source").applyInPandas(filled, T.StructType([base.schema["record"], base.schema["source"], base.schema["tokens"], T.StructField("repeats", T.LongType())]))
     outside = placed.where(~((F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi"))))

@@ -104,7 +104,7 @@ codecs.register_error("marlstone-user-defined", _user_defined)
 
 def _decode(data: bytes, wrong: str) -> str:
     """As the usual decoders do; bytes that cp125x leaves open stay C1 controls."""
-    if wrong.startswith(("cp1252", "cp1250")):
+    if wrong.startswith("cp125"):
         return "".join(_or_c1(data[i : i + 1], wrong) for i in range(len(data)))
     return data.decode(wrong)
 
@@ -117,7 +117,7 @@ def _or_c1(one: bytes, wrong: str) -> str:
 
 
 def _encode(text: str, wrong: str) -> bytes:
-    if wrong in ("cp1252", "cp1250"):
+    if wrong.startswith("cp125"):
         out = bytearray()
         for ch in text:
             try:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import all_codes, cleaned, shingle_codes
 from marlstone.llm.bitslice import block_pairs, parity_sketches
-from marlstone.runtime import join_lookup, staged
+from marlstone.runtime import join_lookup, plain, staged
 
 BUCKET_BITS = 20
 #: Holders of a token beyond which it is split.
@@ -208,7 +208,7 @@ def similar_texts(
     a < b, whose sets of ``n``-character substrings have a Jaccard similarity of at least ``threshold``.
 
     Null items and null, empty or too short texts are left out, and those for
-    which ``leave_out`` is true; it runs on the executors. An item may have
+    which ``leave_out`` is true; it runs on the executors and must pickle. An item may have
     several texts, and be repeated. Texts of any length are used whole.
     """
     spark = rows.sparkSession
@@ -218,10 +218,11 @@ def similar_texts(
         out_of_it = skip.value
         for b in batches:
             if out_of_it is not None:
-                b = b[[not out_of_it(t) for t in b["text"]]]
+                b = b[np.array([not out_of_it(t) for t in b["text"]], dtype=bool)]
             out = pd.DataFrame({"item": b["item"], "text": b["text"].map(cleaned)})
-            out = out[out["text"].str.len() >= min_chars]
-            yield out.assign(key=[_class_of(t) for t in out["text"]])[["item", "key", "text"]].astype({"key": "int64"})
+            out = out[np.array([len(t) >= min_chars for t in out["text"]], dtype=bool)]
+            if len(out):
+                yield plain(out.assign(key=[_class_of(t) for t in out["text"]])[["item", "key", "text"]].astype({"key": "int64"}))
 
     kept = rows.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
     own = staged(kept.mapInPandas(tidy, "item string, key long, text string"), "texts")
@@ -243,7 +244,8 @@ def similar_texts(
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, sets, sizes in _batches_of_classes(batches, n):
             made = list(poster.value.rows(keys, sets, sizes))
-            yield pd.DataFrame(made, columns=["level", "block", "bundle"])
+            if made:
+                yield pd.DataFrame(made, columns=["level", "block", "bundle"])
 
     def compared(group: pd.DataFrame) -> pd.DataFrame:
         return _compare(group, threshold)

@@ -20,12 +20,13 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import cleaned, shingle_codes
-from marlstone.runtime import staged
+from marlstone.runtime import plain, staged
 
 BLOCK_ROWS = 20_000
 
@@ -104,7 +105,9 @@ def cross_split_overlaps(
     def tidy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = pd.DataFrame({"id": b.iloc[:, 0], "text": b.iloc[:, 1].map(cleaned)})
-            yield out[out["text"].str.len() >= min_chars]
+            out = out[np.array([len(t) >= min_chars for t in out["text"]], dtype=bool)]
+            if len(out):
+                yield plain(out)
 
     side = evaluation.select(F.col(eval_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     indexed = staged(side.mapInPandas(tidy, f"id {kinds['e']}, text string"), "evaluation")
@@ -126,7 +129,8 @@ def cross_split_overlaps(
                         for t in _codes(x, n):
                             if t in known:
                                 held[t] += times
-            yield pd.DataFrame({"token": list(held.keys()), "n": list(held.values())}, columns=["token", "n"]).astype("int64")
+            if held:
+                yield pd.DataFrame({"token": list(held.keys()), "n": list(held.values())})
 
         frequency = {t: 0 for t in vocabulary.value}
         counts = train.mapInPandas(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -144,7 +148,8 @@ def cross_split_overlaps(
                         hits = found[raw] = index.value.probe(x) if len(x) >= min_chars else []
                     for other, similarity in hits:
                         ids.append(other), ours.append(key), alike.append(similarity)
-                yield pd.DataFrame({eval_id: ids, train_id: ours, "similarity": alike})
+                if ids:
+                    yield plain(pd.DataFrame({eval_id: ids, train_id: ours, "similarity": alike}))
 
         found = train.mapInPandas(probed, schema)
         out = found if out is None else out.unionByName(found)

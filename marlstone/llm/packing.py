@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.runtime import staged
+from marlstone.runtime import plain, staged
 
 GROUP_ITEMS = 8_000
 #: Kinds of containers at most; they are collected.
@@ -100,6 +100,6 @@ def pack(items: DataFrame, containers: DataFrame, item_id: str, size: str, name:
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["size", "item"], ascending=[False, True], kind="stable")
         made = [one(group, pack, cap) for pack, cap in capacities]
-        return pd.concat(made) if made else pd.DataFrame(columns=["pack", "item", "part", "group", "container", "tokens"])
+        return plain(pd.concat(made)) if made else pd.DataFrame(columns=["pack", "item", "part", "group", "container", "tokens"])
 
     return drawn.groupBy("group").applyInPandas(packed, f"pack {kinds['n']}, item {kinds['i']}, part int, group int, container long, tokens long")
