@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HAN = r"[\x{3400}-\x{9fff}]"
+NOT_HAN = r"[^\x{3400}-\x{9fff}]+"
 #: Patterns that hide addresses, numbers and keys, in the order they are applied, with their marks.
 MASKS = (
     (r"(?i)bearer\s+[a-z0-9._\-]+", "[token]"),
@@ -25,9 +25,21 @@ def lex_tokens(text: Column) -> Column:
     bridge what stood between), then the characters; null gives an empty list."""
     low = F.lower(F.coalesce(text, F.lit("")))
     words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
-    han = F.regexp_extract_all(low, F.lit(HAN), F.lit(0))
-    pairs = F.zip_with(F.slice(han, F.lit(1), F.greatest(F.size(han) - 1, F.lit(0))), F.slice(han, F.lit(2), F.greatest(F.size(han) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    return F.concat(words, pairs, han)
+    han = F.filter(F.split(F.regexp_replace(low, NOT_HAN, ""), ""), lambda c: c != "")
+
+    def with_pairs(h: Column) -> Column:
+        rest = F.greatest(F.size(h) - 1, F.lit(0))
+        return F.concat(F.zip_with(F.slice(h, F.lit(1), rest), F.slice(h, F.lit(2), rest), lambda a, b: F.concat(a, b)), h)
+
+    # bound to a variable, the characters are taken once and not wherever they are named
+    return F.concat(words, F.get(F.transform(F.array(han), with_pairs), F.lit(0)))
+
+
+def lex_size(text: Column) -> Column:
+    """The number of tokens ``lex_tokens`` gives, without making them."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    han = F.length(F.regexp_replace(low, NOT_HAN, ""))
+    return F.regexp_count(low, F.lit("[a-z0-9]+")) + F.greatest(han * 2 - 1, F.lit(0))
 
 
 def short_hash(text: Column) -> Column:
@@ -46,7 +58,7 @@ def is_corrupt(text: Column) -> Column:
 
 def han_ratio(text: Column) -> Column:
     """Share of Han characters, null for empty."""
-    return F.length(F.regexp_replace(text, r"[^\x{3400}-\x{9fff}]", "")) / F.nullif(F.length(text), F.lit(0))
+    return F.length(F.regexp_replace(text, NOT_HAN, "")) / F.nullif(F.length(text), F.lit(0))
 
 
 def snap_window(text: Column, at: Column, width: Column, around: int = 60, reach: int = 40) -> Column:

@@ -71,6 +71,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files are too few to keep them busy with costly functions; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def within(df: DataFrame, bound: int) -> bool:
     """Whether ``df`` has at most ``bound`` rows; reads no more than that plus one."""
     return df.limit(bound + 1).count() <= bound
