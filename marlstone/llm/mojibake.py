@@ -36,6 +36,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.runtime import spread
+
 #: Encodings by Python's names.
 SINGLE = ("cp1252", "latin_1", "cp437", "cp850", "cp866", "mac_roman", "koi8_r", "cp1251", "cp1250", "iso8859_2", "iso8859_5", "iso8859_15")
 MULTI = ("gbk", "big5", "cp949", "cp932", "euc_jp")
@@ -430,5 +432,5 @@ def restore_garbled(rows: DataFrame, text: str, found: Detector | None = None) -
             yield pd.DataFrame(out, columns=["garbled", "restored", "complete"])
 
     keep = [c for c in rows.columns if c not in ("garbled", "restored", "complete")]
-    marked = rows.select(*[F.col(f"`{c}`") for c in keep], judged(F.col(text)).alias("_judged"))
+    marked = spread(rows).select(*[F.col(f"`{c}`") for c in keep], judged(F.col(text)).alias("_judged"))
     return marked.select(*[F.col(f"`{c}`") for c in keep], "_judged.garbled", "_judged.restored", "_judged.complete")

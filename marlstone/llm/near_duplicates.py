@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import all_codes, cleaned, shingle_codes
 from marlstone.llm.bitslice import block_pairs, parity_sketches
-from marlstone.runtime import join_lookup, plain, staged
+from marlstone.runtime import join_lookup, plain, spread, staged
 
 BUCKET_BITS = 20
 #: Holders of a token beyond which it is split.
@@ -225,7 +225,7 @@ def similar_texts(
                 yield plain(out.assign(key=[_class_of(t) for t in out["text"]])[["item", "key", "text"]].astype({"key": "int64"}))
 
     kept = rows.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
-    own = staged(kept.mapInPandas(tidy, "item string, key long, text string"), "texts")
+    own = staged(spread(kept).mapInPandas(tidy, "item string, key long, text string"), "texts")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros(1 << BUCKET_BITS, dtype=np.int64)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import cleaned, shingle_codes
-from marlstone.runtime import plain, staged
+from marlstone.runtime import plain, spread, staged
 
 BLOCK_ROWS = 20_000
 
@@ -113,7 +113,7 @@ def cross_split_overlaps(
     indexed = staged(side.mapInPandas(tidy, f"id {kinds['e']}, text string"), "evaluation")
     rows = indexed.count()
     blocks = max(1, math.ceil(rows / block_rows))
-    train = training.select(F.col(train_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    train = spread(training).select(F.col(train_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     out = None
     for k in range(blocks):
         part = indexed if blocks == 1 else indexed.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)

@@ -14,6 +14,7 @@ from marlstone.llm.overlap import cross_split_overlaps
 from marlstone.llm.packing import pack
 from marlstone.llm.residue import find_residue
 from marlstone.llm.tokens import token_count
+from marlstone.runtime import spread
 from marlstone.tables import table
 
 CAP = 12
@@ -92,7 +93,7 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     """Every document's container for each size of pack_capacities."""
-    docs = table(spark, d, "documents").select("doc_id", token_count(F.col("text")).alias("tokens"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", token_count(F.col("text")).alias("tokens"))
     packed = pack(docs, table(spark, d, "pack_capacities"), "doc_id", "tokens", "packname", "capacitytokens")
     return packed.withColumnsRenamed({"pack": "packname", "item": "doc_id", "group": "pack_group"})
 
@@ -105,7 +106,7 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents").select("doc_id", "source", token_count(F.col("text")).alias("tokens"), quality_weight(F.col("text")).alias("weight"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", token_count(F.col("text")).alias("tokens"), quality_weight(F.col("text")).alias("weight"))
     return mix(docs, table(spark, d, "mix_targets"), "doc_id", "source", "tokens", "weight")
 
 
