@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.columns import rate
 from marlstone.operators import events as E
+from marlstone.runtime import shared_dir
+from marlstone.streaming import events as stream
 from marlstone.tables import table
 
 
@@ -98,11 +102,30 @@ def events_halves(spark: SparkSession, d: str) -> DataFrame:
     return E.percentiles(halves, "half", "value", {"p50": 0.5, "p95": 0.95})
 
 
+def _stream(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, str]:
+    rows = _events(spark, d)
+    return stream.read_stream(spark, f"{d}/events.parque[t]", rows.schema), f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+
+
+def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events by day and kind, counted by a stream over the table's files."""
+    source, at = _stream(spark, d, "daily")
+    stream.run_available(stream.daily_counts(source, "ts", "event_type"), f"{at}/checkpoint", lambda b, _: b.write.mode("overwrite").parquet(f"{at}/out"), "complete")
+    return spark.read.parquet(f"{at}/out")
+
+
+def stream_chains(spark: SparkSession, d: str) -> DataFrame:
+    """The chains of events_reformulations, linked by a stream that keeps each user's last event."""
+    source, at = _stream(spark, d, "chains")
+    stream.run_available(stream.chains(source, 3600.0), f"{at}/checkpoint", lambda b, i: b.write.mode("overwrite").parquet(f"{at}/out/batch={i}"))
+    return spark.read.parquet(f"{at}/out").select("event_id", "group_id", "previous_id", "gap")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         events_reformulations, events_repeats, events_daily, events_percentiles, events_percentile_variants, events_last_value, events_union_without, events_cost,
-        events_offenders, events_state_changes, events_silences, events_suspects, events_zero_errors, events_trace, events_halves,
+        events_offenders, events_state_changes, events_silences, events_suspects, events_zero_errors, events_trace, events_halves, stream_daily_counts, stream_chains,
     )
 }
 
@@ -116,6 +139,8 @@ def _percentile_sql(key: str, source: str, shares: dict[str, str], variant: str)
 
 _ROUND, _CEIL = "floor(n * {p}::DOUBLE + 0.5) - 1", "ceil(n * {p}::DOUBLE) - 1"
 SQL = {
+    "stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS kind, count(*) AS n FROM events GROUP BY ALL",
+    "stream_chains": f"WITH {_LINKED}, r AS (SELECT *, last_value(CASE WHEN g IS NULL OR g > 3600 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM l) SELECT event_id, CASE WHEN g <= 3600 THEN 'rg_' || f END AS group_id, CASE WHEN g <= 3600 THEN pe END AS previous_id, CASE WHEN g <= 3600 THEN g END AS gap FROM r",
     "events_reformulations": f"WITH {_LINKED}, r AS (SELECT *, last_value(CASE WHEN g IS NULL OR g > 3600 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM l) SELECT event_id, CASE WHEN g <= 3600 THEN 'rg_' || f END AS group_id, CASE WHEN g <= 3600 THEN pe END AS previous_id, CASE WHEN g <= 3600 THEN levenshtein(event_type, pt) END AS edits, CASE WHEN g <= 3600 THEN g END AS gap FROM r",
     "events_repeats": "SELECT event_id, len(list_filter(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), lambda x: x = event_type)) AS repeats FROM events",
     "events_daily": "WITH p AS (" + _percentile_sql("strftime(ts, '%Y-%m-%d')", "events", {"p50": "0.5", "p95": "0.95"}, _ROUND) + ") SELECT day, events, users, errors, floor(errors / events * 1000 + 0.5) / 1000 AS error_rate, p50, p95, kinds, clicks FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events, count(DISTINCT user_id) AS users, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT event_type) AS kinds, nullif(count(*) FILTER (event_type = 'click'), 0) AS clicks FROM events GROUP BY 1) LEFT JOIN p ON p.key = day",

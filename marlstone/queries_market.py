@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators.hybrid import market_first, semantic_first, topn_subset
 from marlstone.operators.panel import at_offset, calendar, derive_state, listing_index
+from marlstone.plans.phrases import parse_phrase
 from marlstone.plans.spec import Condition, Registry, at_date, parse, run
 from marlstone.runtime import js_round
 from marlstone.tables import table
@@ -138,7 +139,18 @@ def market_state_audit(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (market_topk_return5, market_state_supplier, market_state_part, market_filter_sort_asc, market_postcut_comparison, market_listing_index, market_calendar, hybrid_semantic_first, hybrid_semantic_first_filtered, hybrid_market_first, hybrid_topn_subset, market_state_audit)}
+def plan_phrase_cut(spark: SparkSession, d: str) -> DataFrame:
+    """A phrase, parsed and run: of the first 50 by amount those that rose."""
+    plan = parse_phrase("成交额前50名里涨幅超过0%的公司")
+    return run(at_date(_state(spark, d), None), parse(plan.spec(), REGISTRY)).select("rank", "total", "entity", "amount", "pct_change")
+
+
+def plan_phrase_filters(spark: SparkSession, d: str) -> DataFrame:
+    plan = parse_phrase("连续1天上涨且成交量超过10的公司里量比最大的前30名")
+    return run(at_date(_state(spark, d), None), parse({"filters": plan.filters + plan.post, "sort": plan.sort, "limit": plan.limit}, REGISTRY)).select("rank", "total", "entity", "volume_ratio", "volume")
+
+
+QUERIES = {f.__name__: f for f in (market_topk_return5, market_state_supplier, market_state_part, market_filter_sort_asc, market_postcut_comparison, market_listing_index, market_calendar, hybrid_semantic_first, hybrid_semantic_first_filtered, hybrid_market_first, hybrid_topn_subset, market_state_audit, plan_phrase_cut, plan_phrase_filters)}
 
 
 def _round(x: str, digits: int) -> str:
@@ -183,6 +195,8 @@ def _query_sql(where: str, order: str, limit: int, columns: str, post: str = "tr
 
 
 SQL = {
+    "plan_phrase_cut": f"{_S}, cut AS (SELECT *, row_number() OVER (ORDER BY amount DESC NULLS LAST, entity) AS rank FROM latest QUALIFY rank <= 50) SELECT rank, (SELECT count(*) FROM latest) AS total, entity, amount, pct_change FROM cut WHERE pct_change > 0",
+    "plan_phrase_filters": f"{_S}, f AS (SELECT * FROM latest WHERE up_streak >= 1 AND volume > 10) SELECT row_number() OVER (ORDER BY volume_ratio DESC NULLS LAST, entity) AS rank, (SELECT count(*) FROM f) AS total, entity, volume_ratio, volume FROM f QUALIFY rank <= 30",
     "market_topk_return5": _query_sql("up_streak >= 1", "return_5 DESC NULLS LAST", 20, "return_5, up_streak, close"),
     "market_filter_sort_asc": _query_sql("volume <> 0 AND is_up = false", "volume_ratio ASC NULLS LAST", 100, "volume_ratio, volume"),
     "market_postcut_comparison": _query_sql("true", "amount DESC NULLS LAST", 50, "amount, pct_change", "pct_change > 0 AND cut.volume > (SELECT b.volume FROM bars b WHERE b.entity = cut.entity AND b.idx = cut.idx - 1)"),

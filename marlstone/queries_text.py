@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import columns as C
 from marlstone.functions.codes import denoted_code, denoted_sql
-from marlstone.operators import corpus, retrieval
+from marlstone.operators import corpus, extract, retrieval
 from marlstone.tables import table
 
 #: Rules as (dimension, label, pattern, pattern that vetoes).
@@ -146,11 +146,44 @@ def text_signals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+TRIGGERS = {"capacity": "产能", "share": "市场份额", "patent": "授权专利"}
+REJECTS = {"forecast": "预计", "decline": "同比减少"}
+
+
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    return extract.trigger_windows(_docs(spark, d), "doc_id", "text", TRIGGERS, REJECTS)
+
+
+def extract_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Accepted windows of each document, at most six."""
+    return extract.chosen_windows(_windows(spark, d)).withColumnRenamed("entity", "doc_id")
+
+
+def extract_trigger_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _windows(spark, d).groupBy(F.col("entity").alias("doc_id"), "category").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
+
+
+def extract_cell_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of the short facts, which are cells of tables."""
+    cells = table(spark, d, "facts").where(F.length("rawtext") <= 24).select("ingestid", "rawtext")
+    return cells.select("ingestid", extract.terms_of(F.col("rawtext")).alias("terms"), extract.cell_term(F.col("rawtext")).alias("cell_term"))
+
+
+def extract_field_hits(spark: SparkSession, d: str) -> DataFrame:
+    rows = _companies(spark, d).groupBy("code").agg(F.max_by(F.struct("businessdescription", "industry", "name"), "loadedat").alias("c")).select("code", "c.*")
+    return extract.field_hits(rows, "code", ["businessdescription", "industry", "name"], ["材料", "设备", "电子"]).withColumnRenamed("key", "code")
+
+
+def extract_context(spark: SparkSession, d: str) -> DataFrame:
+    return extract.in_context(_docs(spark, d), "doc_id", "text", "产能").withColumnRenamed("key", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         text_tokens, text_bm25, text_idf_overlap, vector_nearest, fused_rrf, fused_blend, fused_constraints, fused_match_count, corpus_document_frequency, corpus_gate, corpus_rule_tags,
-        corpus_newest_facts, corpus_evidence_spans, corpus_fact_issues, corpus_changes, corpus_coverage, corpus_duplicate_triples, text_windows, text_signals,
+        corpus_newest_facts, corpus_evidence_spans, corpus_fact_issues, corpus_changes, corpus_coverage, corpus_duplicate_triples, text_windows, text_signals, extract_windows, extract_trigger_counts,
+        extract_cell_terms, extract_field_hits, extract_context,
     )
 }
 
@@ -205,5 +238,10 @@ UNION ALL SELECT ingestid, 'no_date' FROM facts WHERE source."asof" IS NULL
 UNION ALL SELECT ingestid, 'text_too_short' FROM facts WHERE length(rawtext) < 2) f""",
     "corpus_coverage": "SELECT count(*) AS rows, count(*) FILTER (length(businessdescription) > 0) AS with_description, count(*) FILTER (len(mainproducts) > 0) AS with_products, count(*) FILTER (len(concepts) > 0) AS with_concepts, count(*) FILTER (region.province IS NOT NULL) AS with_province, count(*) FILTER (swlevel1industry = 'unknown') AS unknown_industry FROM companies",
     "corpus_duplicate_triples": "SELECT companycode, facttype, sha256(rawtext) AS digest, count(*) AS n FROM facts WHERE companycode IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
+    "extract_trigger_counts": " UNION ALL ".join(
+        f"SELECT doc_id, '{k}' AS category, len(regexp_extract_all(text, '{t}')) AS n, strpos(text, '{t}') - 1 AS first_at FROM documents WHERE contains(text, '{t}')" for k, t in TRIGGERS.items()
+    ),
+    "extract_field_hits": "WITH c AS (SELECT code, arg_max({'b': businessdescription, 'i': industry, 'n': name}, loadedat) AS c FROM companies GROUP BY code), f AS (SELECT code, 'businessdescription' AS field, c.b AS t FROM c UNION ALL SELECT code, 'industry', c.i FROM c UNION ALL SELECT code, 'name', c.n FROM c) "
+    "SELECT code, field, min(term) AS term, quote FROM (SELECT code, field, term, substr(t, greatest(1, strpos(t, term) - 18), strpos(t, term) - greatest(1, strpos(t, term) - 18) + length(term) + 18) AS quote FROM f, (SELECT unnest(['材料', '设备', '电子']) AS term) WHERE contains(t, term)) GROUP BY code, field, quote",
     "text_signals": "SELECT ingestid, substr(sha256(rawtext), 1, 16) AS hash16, round(length(regexp_replace(rawtext, '[^\\x{3400}-\\x{9fff}]', '', 'g')) / nullif(length(rawtext), 0), 6) AS han_ratio, (contains(rawtext, '产线')::INT + contains(rawtext, '专利')::INT + contains(rawtext, '客户')::INT + contains(rawtext, '毛利率')::INT) AS hits FROM facts",
 }
