@@ -59,6 +59,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder as parquet and read back.
 
@@ -67,10 +70,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "staged", f"{name}-{uuid.uuid4().hex}")
+    _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes what this process has staged and returns how much that was; call it once the results are written."""
+    jvm, n = spark.sparkContext._jvm, len(_STAGED)
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files are too few to keep them busy with costly functions; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

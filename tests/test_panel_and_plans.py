@@ -8,7 +8,7 @@ from marlstone.operators import hybrid
 from marlstone.operators.panel import calendar, derive_state, listing_index
 from marlstone.plans.phrases import number, parse_phrase
 from marlstone.plans.spec import Condition, Registry, SpecError, parse, run
-from marlstone.runtime import join_lookup, js_round
+from marlstone.runtime import join_lookup, js_round, release, staged
 
 PANEL = "entity long, idx int, date date, close double, prev_close double, volume double, amount double"
 D = dt.date(2026, 1, 1)
@@ -141,3 +141,9 @@ def test_phrases():
     assert parse_phrase("量比最大的光模块公司").sort == {"field": "volume_ratio", "direction": "desc"}
     assert parse_phrase("连续3天上涨的白酒股票").filters == [{"field": "up_streak", "op": ">=", "value": 3.0}]
     assert parse_phrase("市值100的公司").filters == []
+
+
+def test_staged_rows_are_released(spark):
+    release(spark)
+    rows = staged(spark.range(5).toDF("n"), "five")
+    assert rows.count() == 5 and release(spark) == 1 and release(spark) == 0
