@@ -90,7 +90,7 @@ def events_zero_errors(spark: SparkSession, d: str) -> DataFrame:
 def events_trace(spark: SparkSession, d: str) -> DataFrame:
     """Each user's events by kind, in order."""
     e = _events(spark, d).groupBy("user_id", "event_type").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id"))), lambda s: s["event_id"]).alias("ids"))
-    return e.select("user_id", "event_type", "ids")
+    return e.select("user_id", "event_type", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 def events_halves(spark: SparkSession, d: str) -> DataFrame:
@@ -154,6 +154,6 @@ SQL = {
     "events_silences": f"WITH {_LINKED} SELECT user_id, event_id, g AS seconds FROM l WHERE g > 86400",
     "events_suspects": "WITH u AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'click') AS c, count(DISTINCT event_type) AS k FROM events GROUP BY 1) SELECT user_id, 'MANY_ERRORS' AS kind FROM u WHERE floor(e / n * 1000 + 0.5) / 1000 > 0.25 UNION ALL SELECT user_id, 'FEW_CLICKS' FROM u WHERE floor(c / n * 1000 + 0.5) / 1000 < 0.15 UNION ALL SELECT user_id, 'BUSY' FROM u WHERE n > 70 UNION ALL SELECT user_id, 'ONE_KIND' FROM u WHERE k = 1",
     "events_zero_errors": "SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')",
-    "events_trace": "SELECT user_id, event_type, list(event_id ORDER BY ts, event_id) AS ids FROM events GROUP BY ALL",
+    "events_trace": "SELECT user_id, event_type, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS ids FROM events GROUP BY ALL",
     "events_halves": _percentile_sql("CASE WHEN epoch_us(ts) < (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) / 2 FROM events) THEN 'early' ELSE 'late' END", "events", {"p50": "0.5", "p95": "0.95"}, _ROUND),
 }

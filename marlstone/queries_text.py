@@ -31,7 +31,7 @@ def _titles(spark: SparkSession, d: str) -> DataFrame:
 
 def text_tokens(spark: SparkSession, d: str) -> DataFrame:
     t = C.lex_tokens(F.col("query"))
-    return table(spark, d, "stage3_semiconductor_benchmark").select("query_id", t.alias("tokens"), F.size(t).alias("n"))
+    return table(spark, d, "stage3_semiconductor_benchmark").select("query_id", F.array_join(t, "|").alias("tokens"), F.size(t).alias("n"))
 
 
 def text_bm25(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +214,7 @@ con AS (SELECT query, doc, round(final, 6) AS final, row_number() OVER (PARTITIO
 _CODE = denoted_sql("companycode")
 
 SQL = {
-    "text_tokens": f"SELECT k AS query_id, tokens, len(tokens) AS n FROM {_tokens_sql('stage3_semiconductor_benchmark', 'query_id', 'query')}",
+    "text_tokens": f"SELECT k AS query_id, array_to_string(tokens, '|') AS tokens, len(tokens) AS n FROM {_tokens_sql('stage3_semiconductor_benchmark', 'query_id', 'query')}",
     "text_bm25": f"WITH {_INDEX} SELECT query, doc, score, rank FROM bm25",
     "text_idf_overlap": f"WITH {_INDEX} SELECT query, doc, score, rank FROM overlap",
     "vector_nearest": f"WITH {_INDEX} SELECT query, doc, score, rank FROM nearest",
