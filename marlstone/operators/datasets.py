@@ -114,3 +114,13 @@ def truth_by_priority(sources: list[DataFrame], keys: list[str], label: str) ->
         one = s.select(*keys, F.col(label).alias("label"), F.lit(-i).alias("_p"))
         every = one if every is None else every.unionByName(one)
     return every.groupBy(*keys).agg(F.max(F.struct("_p", "label"))["label"].alias("label"))
+
+
+def frozen(rows: DataFrame, reasons: dict[str, Column], keys: list[Column], order: list[Column]) -> DataFrame:
+    """Adds reasons, an array: why a row can't be held out. A row with the keys of an earlier acceptable one is DUPLICATE;
+    rows with another reason don't make later ones duplicates. An empty array means the row is in."""
+    why = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in reasons.items()]))
+    marked = rows.withColumn("reasons", why).withColumn("_ok", F.size("reasons") == 0)
+    w = Window.partitionBy(*keys, F.col("_ok")).orderBy(*order)
+    ranked = marked.withColumn("_r", F.row_number().over(w))
+    return ranked.withColumn("reasons", F.when(F.col("_ok") & (F.col("_r") > 1), F.array(F.lit("DUPLICATE"))).otherwise(F.col("reasons"))).drop("_ok", "_r")

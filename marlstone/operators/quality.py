@@ -101,3 +101,28 @@ def variance_share(rows: DataFrame, group: str, value: str) -> DataFrame:
     means = rows.where(F.col(value).isNotNull()).groupBy(group).agg(F.avg(value).alias("m")).agg(F.var_pop("m").alias("between"))
     whole = rows.agg(F.var_pop(value).alias("total"))
     return means.crossJoin(F.broadcast(whole)).select(F.round(F.col("between") / F.nullif(F.col("total"), F.lit(0.0)), 6).alias("share"))
+
+
+def wrongly_above(ranked: DataFrame, wrong: str, label: str, relevant: int = 2) -> DataFrame:
+    """Rows flagged ``wrong`` that are ranked above their query's first relevant row; all of them where none is relevant."""
+    first = F.min(F.when(F.col(label) >= relevant, F.col("rank"))).over(Window.partitionBy("query"))
+    marked = ranked.withColumn("_first", first)
+    return marked.where(F.coalesce(F.col(wrong), F.lit(False)) & (F.col("_first").isNull() | (F.col("rank") < F.col("_first")))).drop("_first")
+
+
+def grade_summary(graded: DataFrame, group: str, grade: str, rank: str, shown: int = 20) -> DataFrame:
+    """By group: rows, mean and p90 grade (the element at floor(0.9 n)), shares of at least 1.5 and 2, the mean of the first
+    ``shown``, and how far that lies above the mean."""
+    rows = graded.where(F.col(grade).isNotNull())
+    counts = rows.groupBy(F.col(group).alias("group"), F.col(grade).cast("double").alias("g")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy("group")
+    run = counts.withColumn("upto", F.sum("c").over(w.orderBy("g").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+    high = run.groupBy("group").agg(F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * 0.9)), F.col("g"))).alias("p90"))
+    sums = rows.groupBy(F.col(group).alias("group")).agg(
+        F.count("*").alias("rows"),
+        F.round(F.avg(grade), 6).alias("mean"),
+        F.round(F.avg((F.col(grade) >= 1.5).cast("int")), 6).alias("from_1_5"),
+        F.round(F.avg((F.col(grade) >= 2).cast("int")), 6).alias("from_2"),
+        F.round(F.avg(F.when(F.col(rank) <= shown, F.col(grade))), 6).alias("shown_mean"),
+    )
+    return sums.join(high, "group").withColumn("margin", F.round(F.col("shown_mean") - F.col("mean"), 6))

@@ -77,3 +77,16 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     rows = lambda df: df.select(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}).alias("row"))
     x, y = rows(a), rows(b)
     return x.exceptAll(y).select(F.lit("first").alias("side"), "row").unionByName(y.exceptAll(x).select(F.lit("second").alias("side"), "row"))
+
+
+def search_runs(spark: SparkSession, folder: str, date: str | None = None, contains: str | None = None, code: str | None = None) -> DataFrame:
+    """timestamp, query, codes of logged searches, torn lines left out: of a date, with a text in the query, with a code among the results."""
+    schema = T.StructType().add("timestamp", "string").add("query", "string").add("codes", T.ArrayType(T.StringType()))
+    rows, _ = read_events(spark, folder, schema)
+    if date is not None:
+        rows = rows.where(F.col("timestamp").startswith(date))
+    if contains is not None:
+        rows = rows.where(F.contains("query", F.lit(contains)))
+    if code is not None:
+        rows = rows.where(F.array_contains("codes", code))
+    return rows

@@ -178,6 +178,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "ev/2026-01-01.jsonl").write_text('{"v":1}\n\nnot json\n{"v":2}\n')
     good, bad = files.read_events(spark, str(tmp_path / "ev"), T.StructType().add("v", "integer"))
     assert sorted(r["v"] for r in good.collect()) == [1, 2] and bad.first()["corrupt"] == 1
+    (tmp_path / "runs").mkdir()
+    (tmp_path / "runs/log.jsonl").write_text('{"timestamp":"2026-01-01T00","query":"铜箔","codes":["600001"]}\n{"timestamp":"2026-01-02T00","query":"x"}\n{"torn')
+    runs = lambda **k: files.search_runs(spark, str(tmp_path / "runs"), **k).count()
+    assert (runs(), runs(date="2026-01-02"), runs(contains="铜"), runs(code="600001"), runs(code="1")) == (2, 1, 1, 1, 0)
     (tmp_path / "x.cod").write_bytes(struct.pack("<6s8sI", b"600001", "铜箔".encode("gbk"), 7) * 3)
     got = files.read_fixed(spark, str(tmp_path / "x.cod"), "<6s8sI", [("code", "string"), ("name", "string"), ("n", "int")]).collect()
     assert len(got) == 3 and got[0]["name"] == "铜箔" and got[0]["n"] == 7
