@@ -12,6 +12,8 @@ TABLE_BITS = 21
 FLOOR = 1.0 / 20_000
 _CODE = re.compile(r"[A-Z]{1,6}(?=-?[0-9])")
 _START = np.uint64(2)
+#: What of each count of natural prose goes to the shorter n-grams.
+DISCOUNT = 1.0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,49 +45,120 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 class Counts:
     """The n-grams of one model: by order, hashes, counts, and what follows each as a context."""
 
-    def __init__(self, texts: list[str], least: dict[int, float] | None = None) -> None:
+    def __init__(self, texts: list[str]) -> None:
         gathered: list[list[tuple]] = [[] for _ in range(ORDER)]
+        start = hashes(np.array([_START], dtype=np.uint64))
         for text in texts:
             codes = points(text)
             if not len(codes):
                 continue
             grams = hashes(codes)
-            start = hashes(np.array([_START], dtype=np.uint64))
             for k, h in enumerate(grams):
                 own, first, n = np.unique(h, return_index=True, return_counts=True)
                 # the context is the gram one shorter that ends one character before
                 before = np.concatenate([start[k - 1], grams[k - 1][:-1]])[first] if k else np.zeros(len(own), dtype=np.uint64)
                 gathered[k].append((own, n, before))
-        self.grams, self.after, self.lost = [], [], []
+        self.grams, self.after = [], []
         for k in range(ORDER):
             keys, n, before = (np.concatenate([g[i] for g in gathered[k]]) if gathered[k] else np.zeros(0, dtype=np.uint64) for i in range(3))
             own, first = np.unique(keys, return_index=True)
-            _, total, spread = _sums(keys, n, np.ones(len(keys)))
-            context = before[first]
-            kept = spread >= (least or {}).get(k + 1, 0) * len(texts)
+            _, total = _sums(keys, n)
             if k:
-                own_c, after, held = _sums(context, total, total * kept)
-                self.after.append((own_c, after))
-                self.lost.append((own_c, after - held))
-            self.grams.append((own[kept], total[kept]))
+                self.after.append(_sums(before[first], total))
+            self.grams.append((own, total))
         self.total = float(self.grams[0][1].sum()) if len(self.grams[0][1]) else 0.0
 
 
+class Batch:
+    """The code points of several texts in one array, each after ORDER - 1 marks, and their n-grams."""
+
+    def __init__(self, texts: list[str]) -> None:
+        marks = "\x02" * (ORDER - 1)
+        #: As they stand, and as the models see them.
+        self.raw = np.frombuffer("".join(marks + t for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.inside = np.ones(len(self.raw), dtype=bool)
+        starts = np.cumsum([0, *(len(t) + ORDER - 1 for t in texts)])[:-1].astype(np.int64)
+        for i in range(ORDER - 1):
+            self.inside[starts + i] = False
+        self.codes = np.full(len(self.raw), _START, dtype=np.uint64)
+        if len(self.raw):
+            self.codes[self.inside] = np.concatenate([points(t) for t in texts])
+        self.grams = hashes(self.codes)
+
+
+class Prose:
+    """The natural model: counts of n-grams in a table of fixed size, so parts of a corpus can be counted apart and added.
+
+    N-grams of the labelled models have a place each, as evidence hangs on them; others share places by hash.
+    """
+
+    def __init__(self, bank: Bank) -> None:
+        sizes = [(1 << TABLE_BITS) + len(keys) for keys in bank.keys]
+        self.n = [np.zeros(size, dtype=np.int64) for size in sizes]
+        #: Place of the context of an n-gram; the greatest where several n-grams meet.
+        self.context = [np.zeros(size, dtype=np.int32) for size in sizes]
+
+    def __getstate__(self) -> dict:
+        """Without the places that hold nothing, which are most."""
+        thin = lambda x: (len(x), np.flatnonzero(x).astype(np.int32), x[x != 0])
+        return {k: [thin(x) for x in v] if isinstance(v, list) else v for k, v in self.__dict__.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        for name, v in state.items():
+            if isinstance(v, list):
+                full = [np.zeros(size, dtype=value.dtype) for size, _, value in v]
+                for x, (_, at, value) in zip(full, v, strict=True):
+                    x[at] = value
+                v = full
+            setattr(self, name, v)
+
+    @staticmethod
+    def places(bank: Bank, k: int, h: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        rows = bank.find(k, h) if rows is None else rows
+        return np.where(rows < len(bank.keys[k]), rows + (1 << TABLE_BITS), (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
+
+    def add(self, bank: Bank, batch: Batch, left_out: np.ndarray) -> None:
+        at = np.flatnonzero(batch.inside & ~left_out)
+        before = None
+        for k in range(ORDER):
+            place = self.places(bank, k, batch.grams[k])
+            self.n[k] += np.bincount(place[at], minlength=len(self.n[k]))
+            if k:
+                np.maximum.at(self.context[k], place[at], before[at - 1].astype(np.int32))
+            before = place
+
+    def fit(self) -> Prose:
+        """Each count gives ``DISCOUNT`` to the shorter n-grams, as what was seen seldom tells little."""
+        self.held, self.after, self.lost = [self.n[0].astype(np.float32)], [], []
+        self.total = np.float32(self.n[0].sum())
+        for k in range(1, ORDER):
+            seen = np.flatnonzero(self.n[k])
+            n = self.n[k][seen]
+            held = np.maximum(n - DISCOUNT, 0)
+            full = np.zeros(len(self.n[k]), dtype=np.float32)
+            full[seen] = held
+            self.held.append(full)
+            for out, weights in ((self.after, n), (self.lost, n - held)):
+                out.append(np.bincount(self.context[k][seen], weights=weights, minlength=len(self.n[k - 1])).astype(np.float32))
+        del self.n, self.context
+        return self
+
+
 class Bank:
-    """Several models over the union of their n-grams. What a context gives to forgotten and
-    unseen continuations goes to the shorter n-gram."""
+    """Several models over the union of their n-grams, after natural prose if there is any. What a
+    context gives to unseen continuations goes to the shorter n-gram."""
 
-    def __init__(self, models: list[Counts], pull: float = 0.5) -> None:
+    def __init__(self, models: list[Counts], pull: float = 0.5, prose: Prose | None = None) -> None:
         self.pull = np.float32(pull)
+        self.prose = prose
         self.total = np.array([m.total for m in models], dtype=np.float32)
-        self.keys, self.count, self.after, self.lost = [], [], [], []
+        self.keys, self.count, self.after = [], [], []
         for k in range(ORDER):
             keys = np.unique(np.concatenate([m.grams[k][0] for m in models]))
             self.keys.append(keys)
             self.count.append(self._rows(keys, [m.grams[k] for m in models]))
             if k < ORDER - 1:
                 self.after.append(self._rows(keys, [m.after[k] for m in models]))
-                self.lost.append(self._rows(keys, [m.lost[k] for m in models]))
 
     @staticmethod
     def _rows(keys: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -114,7 +187,7 @@ class Bank:
             self._tables[k] = first, second
         return self._tables[k]
 
-    def _find(self, k: int, h: np.ndarray) -> np.ndarray:
+    def find(self, k: int, h: np.ndarray) -> np.ndarray:
         keys, n = self.keys[k], len(self.keys[k])
         if not n:
             return np.zeros(len(h), dtype=np.int32)
@@ -129,17 +202,24 @@ class Bank:
     def log_prob(self, codes: np.ndarray) -> np.ndarray:
         """(positions, models): log-probability of each character given those before it."""
         grams = hashes(codes)
-        rows = self._find(0, grams[0])
-        pull = self.pull
+        rows = self.find(0, grams[0])
+        pull, prose = self.pull, self.prose
         p = (self.count[0][rows] + np.float32(FLOOR) * pull) / (self.total + pull) + np.float32(FLOOR * 0.05)
+        if prose is not None:
+            place = prose.places(self, 0, grams[0], rows)
+            q = (prose.held[0][place] + np.float32(FLOOR) * pull) / (prose.total + pull) + np.float32(FLOOR * 0.05)
         start = hashes(np.array([_START], dtype=np.uint64))
         for k in range(1, ORDER):
-            before = np.concatenate([self._find(k - 1, start[k - 1]), rows[:-1]])
-            rows = self._find(k, grams[k])
-            p *= self.lost[k - 1][before] + pull
+            before = np.concatenate([self.find(k - 1, start[k - 1]), rows[:-1]])
+            rows = self.find(k, grams[k])
+            p *= pull
             p += self.count[k][rows]
             p /= self.after[k - 1][before] + pull
-        return np.log(np.minimum(p, np.float32(1.0)))
+            if prose is not None:
+                left = np.concatenate([prose.places(self, k - 1, start[k - 1]), place[:-1]])
+                place = prose.places(self, k, grams[k], rows)
+                q = (q * (prose.lost[k - 1][left] + pull) + prose.held[k][place]) / (prose.after[k - 1][left] + pull)
+        return np.log(np.minimum(p if prose is None else np.column_stack([q, p]), np.float32(1.0)))
 
 
 def best_windows(gain: np.ndarray, least: float) -> list[tuple[int, int, float]]:

@@ -10,14 +10,15 @@ about such strings. What part of a text the windows cover is its coverage.
 The labelled kinds come from ``seeds``; natural prose is a sample of at most
 ``SAMPLE_DOCS`` texts of the corpus, of which at most ``SAMPLE_CHARS`` characters
 each, drawn by hash; names of fields by themselves count as natural, so only what stands
-around or for them is evidence. N-grams that few of the sampled texts share are forgotten, so
-residue in the sample doesn't count as prose. Every text is scored as a whole.
+around or for them is evidence. Sentences that hold a piece of the labelled residue are
+kept out of natural prose, however often they occur, so residue never becomes
+prose by being common. Every text is scored as a whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import seeds
-from marlstone.llm.ngrams import Bank, Counts, best_windows, points
+from marlstone.llm.ngrams import ORDER, Bank, Batch, Counts, Prose, best_windows, hashes, points
 from marlstone.runtime import spread
 
 SAMPLE_DOCS, SAMPLE_CHARS = 2_500, 1_500
-#: Least share of sampled texts that share an n-gram, by its length.
-SHARED = {2: 0.005, 3: 0.006, 4: 0.006}
+#: N-grams of four characters that make a piece of a notice or of filler, within a run of known ones and known to no sound model; without and with Han characters.
+PIECE = {"notice": (7, 3), "filler": (7, 1)}
+#: What prose about residue must be ahead of residue by to end a window.
+AHEAD = 1.5
 #: Summed log-likelihood gain of a residue window, and of the prose around it to dismiss it.
 GAIN = {"slot": 7.5, "notice": 13.0, "filler": 13.0}
 ABOUT_GAIN, AROUND = 8.0, 28
@@ -39,6 +42,78 @@ SHORTEST = 3
 #: Most that one character may gain or lose.
 MOST = 5.5
 _ENDS = re.compile(r"[。；\n!?！？;]|\. ")
+_SHORT = re.compile(r"(?![\s0-9]{3})[^A-Za-z]{3}", re.S)
+_END_CODES = np.array([ord(c) for c in "。；\n!?！？;\x02"], dtype=np.uint32)
+#: Texts of about so many characters are counted at once.
+AT_ONCE = 500_000
+
+
+class _Set:
+    """Membership of hashes: a coarse table first, then the sorted values."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = np.unique(values)
+        self.coarse = np.zeros(1 << 16, dtype=bool)
+        self.coarse[(self.values >> np.uint64(48)).astype(np.int64)] = True
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        out = self.coarse[(h >> np.uint64(48)).astype(np.int64)]
+        near = np.flatnonzero(out)
+        at = np.minimum(np.searchsorted(self.values, h[near]), len(self.values) - 1)
+        out[near] = self.values[at] == h[near]
+        return out
+
+
+class Labelled:
+    """The labelled models, and which sentences of a batch hold a piece of the residue among them."""
+
+    def __init__(self) -> None:
+        lines = lambda block: [x for x in block.split("\n") if x] * 4
+        self.models = [Counts(seeds.field_texts()), Counts(lines(seeds.ABOUT)), Counts(seeds.slot_texts()), Counts(lines(seeds.NOTICES)), Counts(lines(seeds.FILLER))]
+        self.bank = Bank(self.models)
+        fields, about, slot, notice, filler = (m.grams[ORDER - 1][0] for m in self.models)
+        sound = np.union1d(fields, about)
+        self.slot = _Set(np.setdiff1d(slot, sound))
+        self.pieces = {kind: (_Set(own), _Set(np.setdiff1d(own, sound))) for kind, own in (("notice", notice), ("filler", filler))}
+        # of three characters those without letters, as the shortest places have no more
+        short = [hashes(points(t))[2][i] for t in seeds.slot_texts() + lines(seeds.FILLER) for i in range(2, len(t)) if _SHORT.fullmatch(t[i - 2 : i + 1])]
+        self.short = _Set(np.setdiff1d(np.array(short, dtype=np.uint64), self.models[0].grams[2][0]))
+
+    def holding(self, batch: Batch) -> np.ndarray:
+        """For each place of the batch, whether its sentence holds a piece."""
+        hit = self.slot.holds(batch.grams[3])
+        han = np.concatenate([[0], np.cumsum((batch.codes >= 0x4E00) & (batch.codes <= 0x9FFF))])
+        for kind, (known, telling) in self.pieces.items():
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], known.holds(batch.grams[3]), [False]]).astype(np.int8)))
+            told = np.concatenate([[0], np.cumsum(telling.holds(batch.grams[3]))])
+            for start, end in edges.reshape(-1, 2).tolist():
+                hit[start:end] |= told[end] - told[start] >= PIECE[kind][int(han[end] > han[max(0, start - 3)])]
+        covered = hit.copy()
+        for back in (1, 2, 3):
+            covered[:-back] |= hit[back:]
+        hit = self.short.holds(batch.grams[2])
+        for back in (0, 1, 2):
+            covered[: len(hit) - back] |= hit[back:]
+        ends = np.isin(batch.raw, _END_CODES)
+        ends[1:] |= (batch.raw[:-1] == ord(".")) & (batch.raw[1:] == ord(" "))
+        sentence = np.concatenate([[0], np.cumsum(ends)[:-1]])
+        return (np.bincount(sentence, weights=covered) > 0)[sentence] if len(sentence) and len(hit) else covered
+
+
+def count_prose(prose: Prose, labelled: Labelled, texts: Iterable[str]) -> Prose:
+    """``prose`` with the texts' sentences that hold no labelled residue."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= AT_ONCE:
+            batch = Batch(held)
+            prose.add(labelled.bank, batch, labelled.holding(batch))
+            held, size = [], 0
+    if held:
+        batch = Batch(held)
+        prose.add(labelled.bank, batch, labelled.holding(batch))
+    return prose
 
 
 class Residue:
@@ -46,19 +121,12 @@ class Residue:
 
     kinds = tuple(GAIN)
 
-    def __init__(self, natural: list[str]) -> None:
-        lines = lambda block: [x for x in block.split("\n") if x] * 4
-        taught = [
-            Counts(seeds.field_texts()),
-            Counts(lines(seeds.ABOUT)),
-            Counts(seeds.slot_texts()),
-            Counts(lines(seeds.NOTICES)),
-            Counts(lines(seeds.FILLER)),
-        ]
-        self.bank = Bank([Counts(natural, SHARED), *taught])
-        # once more without the sampled texts that hold residue
-        sound = [t for t in natural if not self.windows(t)]
-        self.bank = Bank([Counts(sound, SHARED), *taught])
+    def __init__(self, natural: list[str] | Prose) -> None:
+        labelled = Labelled()
+        if not isinstance(natural, Prose):
+            natural = count_prose(Prose(labelled.bank), labelled, natural)
+        self.bank = labelled.bank
+        self.bank.prose = natural.fit()
 
     def windows(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) of the residue in a text."""
@@ -66,14 +134,15 @@ class Residue:
         if not len(codes):
             return []
         scores = self.bank.log_prob(codes)
-        natural = np.maximum(scores[:, 0], scores[:, 1])
+        natural, residue = np.maximum(scores[:, 0], scores[:, 1]), scores[:, 3:].max(axis=1)
+        sound = np.where(scores[:, 2] > residue + AHEAD, np.maximum(natural, scores[:, 2]), natural)
         out = []
         for k, kind in enumerate(self.kinds):
-            gain = np.clip(scores[:, 3 + k] - natural, -MOST, MOST)
+            gain = np.clip(scores[:, 3 + k] - sound, -MOST, MOST)
             out += [(start, end, kind) for start, end, _ in best_windows(gain, GAIN[kind]) if end - start >= SHORTEST]
         if not out:
             return []
-        about = np.clip(scores[:, 2] - np.maximum(natural, scores[:, 3:].max(axis=1)), -MOST, MOST)
+        about = np.clip(scores[:, 2] - np.maximum(natural, residue), -MOST, MOST)
         return [w for w in sorted(out) if not self._about(text, about, w[0], w[1])]
 
     @staticmethod
