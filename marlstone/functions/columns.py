@@ -116,6 +116,19 @@ def uncontained(items: Column, cap: int) -> Column:
     return F.aggregate(items, start, step)
 
 
+def spans_within(items: Column, cap: int, most: int) -> Column:
+    """The strings of an array, in order, that fit what is left of ``cap`` characters and neither contain nor are
+    contained in one kept before; at most ``most``. What isn't kept takes no slot and no characters."""
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).cast("int").alias("used"))
+
+    def step(acc: Column, x: Column) -> Column:
+        clash = F.exists(acc["kept"], lambda k: F.contains(k, x) | F.contains(x, k))
+        takes = (F.size(acc["kept"]) < most) & (acc["used"] + F.length(x) <= cap) & ~clash
+        return F.when(takes, F.struct(F.concat(acc["kept"], F.array(x)).alias("kept"), (acc["used"] + F.length(x)).cast("int").alias("used"))).otherwise(acc)
+
+    return F.aggregate(items, start, step, lambda acc: acc["kept"])
+
+
 def nearest_rank(sorted_values: Column, share: float, variant: str) -> Column:
     """An element of a sorted array by one of the usual rules; null for an empty one.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.functions.columns import budgeted, uncontained
+from marlstone.functions.columns import spans_within
 from marlstone.runtime import join_lookup
 
 
@@ -47,14 +47,20 @@ def newest_first(rows: DataFrame, entity: str, date: str, tie: str, most: int |
     return out if most is None else out.where(F.col("position") <= most)
 
 
-def evidence_spans(rows: DataFrame, entity: str, text: str, date: str, tie: str, candidates: int = 40, cap: int = 280, most: int = 5) -> DataFrame:
-    """entity, spans: of each entity's ``candidates`` newest texts those that contain no other, at most ``most``, while they fit ``cap`` characters.
+def evidence_spans(rows: DataFrame, entity: str, text: str, date: str, tie: str, cap: int = 280, most: int = 5) -> DataFrame:
+    """entity, spans: each entity's texts, newest first, that fit what is left of ``cap`` characters and neither contain
+    nor are contained in one kept before, at most ``most``. Only a kept text takes a slot.
 
-    Only ``candidates`` rows of an entity reach one task.
+    Equal texts count once, at their first place, and texts longer than ``cap`` can't be kept; both go before the lists are made. An entity of only such texts has no spans.
     """
-    kept = newest_first(rows.where(F.col(entity).isNotNull() & F.col(text).isNotNull() & (F.col(text) != "")), entity, date, tie, candidates)
-    lists = kept.groupBy(F.col(entity).alias("entity")).agg(F.transform(F.sort_array(F.collect_list(F.struct("position", F.col(text).alias("t")))), lambda s: s["t"]).alias("texts"))
-    return lists.select("entity", budgeted(uncontained(F.col("texts"), most), cap, skip=True).alias("spans"))
+    when = F.coalesce(F.col(date).cast("string"), F.lit("9999-12-31"))
+    usable = rows.where(F.col(entity).isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
+    fits = F.when(F.length(text) <= cap, F.col(text))
+    newest = lambda x, y: F.when(x["d"] > y["d"], -1).when(x["d"] < y["d"], 1).when(x["tie"] < y["tie"], -1).when(x["tie"] > y["tie"], 1).otherwise(0)
+    dated = usable.groupBy(F.col(entity).alias("entity"), fits.alias("t"), when.alias("d")).agg(F.min(tie).alias("tie"))
+    first = dated.groupBy("entity", "t").agg(F.max("d").alias("d"), F.max_by("tie", "d").alias("tie"))
+    lists = first.groupBy("entity").agg(F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("d", "tie", "t"))), newest).alias("x"))
+    return lists.select("entity", spans_within(F.transform("x", lambda s: s["t"]), cap, most).alias("spans"))
 
 
 def facts_issues(facts: DataFrame, known: DataFrame) -> DataFrame:
