@@ -18,7 +18,7 @@ characters of some script:
   private-use and unassigned code points) is garbled as it stands, and lost.
 
 The corpus counts are one number a code point and one a (neighbour, sign) pair of
-a fixed alphabet: bounded by Unicode, not by the number of documents.
+a fixed alphabet: bounded by Unicode, not by the number of documents. Equal texts count once.
 """
 
 from __future__ import annotations
@@ -393,9 +393,9 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def detector(rows: DataFrame, text: str) -> Detector:
-    """Counts over the whole corpus: a row a code point and a row a neighbour of a watched sign."""
+    """Counts over the whole corpus, equal texts once: a row a code point and a row a neighbour of a watched sign."""
     own = rows.select(F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.col("text") != ""))
-    counted = own.mapInPandas(_counts, "ch string, side string, kind string, n long").groupBy("ch", "side", "kind").agg(F.sum("n").alias("n"))
+    counted = own.distinct().mapInPandas(_counts, "ch string, side string, kind string, n long").groupBy("ch", "side", "kind").agg(F.sum("n").alias("n"))
     chars, sides, texts = {}, {}, 0
     for r in counted.toLocalIterator():
         if r["kind"] == "c":
