@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.columns import rate
 from marlstone.operators import events as E
-from marlstone.runtime import shared_dir
+from marlstone.runtime import shared_path
 from marlstone.streaming import events as stream
 from marlstone.tables import table
 
@@ -104,7 +102,7 @@ def events_halves(spark: SparkSession, d: str) -> DataFrame:
 
 def _stream(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, str]:
     rows = _events(spark, d)
-    return stream.read_stream(spark, f"{d}/events.parque[t]", rows.schema), f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    return stream.read_stream(spark, f"{d}/events.parque[t]", rows.schema), shared_path(spark, name)
 
 
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast; every caller has narrow rows (< 200 bytes), so this bounds a broadcast to ~20 MB.
 BROADCAST_ROWS = 100_000
-#: Copies of the small side in a salted join.
-SALTS = 32
+#: Keys at most that a join handles apart for being frequent, and from how many rows on.
+HOT_KEYS, HOT_ROWS = 1_000, 200_000
 
 
 def local_session(cores: str | int = "*", shuffle: int = 8, **conf: str) -> SparkSession:
@@ -62,15 +63,19 @@ def shared_dir(spark: SparkSession) -> str:
 _STAGED: list[str] = []
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder, deleted by ``release``."""
+    _STAGED.append(os.path.join(shared_dir(spark), "staged", f"{name}-{uuid.uuid4().hex}"))
+    return _STAGED[-1]
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder as parquet and read back.
 
     Unlike a cached frame it survives lost executors; unlike a reliable
     checkpoint it is columnar and compressed and keeps column pruning.
     """
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "staged", f"{name}-{uuid.uuid4().hex}")
-    _STAGED.append(path)
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -101,22 +106,32 @@ def join_lookup(
     on: list[str],
     how: str = "inner",
     bound: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    hot_rows: int = HOT_ROWS,
     fits: bool | None = None,
 ) -> DataFrame:
     """Join a large, possibly skewed side with a lookup that is unique by ``on``.
 
-    Up to ``bound`` rows the lookup is broadcast. Beyond, it is replicated over
-    ``salts`` and the large side salted by a hash of its whole row, so a key
-    that holds a third of all rows is spread over that many tasks.
+    Up to ``bound`` rows the lookup is broadcast. Beyond, the keys that hold more
+    than ``hot_rows`` rows of ``facts``, null among them, are found by a count
+    and joined apart: of the commonest ``HOT_KEYS`` the lookup's rows are
+    broadcast. All else is shuffled, and no key left there holds more than
+    ``hot_rows`` rows or a thousandth of all. Null keys match nothing.
     """
     if fits is None:
         fits = within(lookup, bound)
     if fits:
         return facts.join(F.broadcast(lookup), on, how)
-    salt = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in facts.columns]), F.lit(salts)).cast("int")
-    many = lookup.withColumn("_salt", F.explode(F.array([F.lit(i) for i in range(salts)])))
-    return facts.withColumn("_salt", salt).join(many.hint("shuffle_hash"), [*on, "_salt"], how).drop("_salt")
+    often = facts.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    hot = staged(often.orderBy(F.desc("_n")).limit(HOT_KEYS).select(*[F.col(c).alias(f"_hot_{c}") for c in on]), "hot")
+    if not hot.limit(1).count():
+        return facts.join(lookup, on, how)
+
+    def apart(df: DataFrame, kind: str) -> DataFrame:
+        same = reduce(lambda x, y: x & y, [df[c].eqNullSafe(hot[f"_hot_{c}"]) for c in on])
+        return df.join(F.broadcast(hot), same, kind)
+
+    few = apart(facts, "left_semi").join(F.broadcast(apart(lookup, "left_semi")), on, how)
+    return few.unionByName(apart(facts, "left_anti").join(lookup, on, how))
 
 
 def js_round(value: Column, digits: int = 0) -> Column:

@@ -113,12 +113,14 @@ def test_failed_chunks_take_the_median(spark):
     assert got[5] == (0.05, True) and got[25] == (pytest.approx(0.095), False)
 
 
-def test_salted_join_equals_broadcast(spark):
-    facts = spark.createDataFrame([(i, i % 3) for i in range(300)], "id long, k long")
-    lookup = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
+@pytest.mark.parametrize("hot_rows", [50, 200_000])
+def test_join_with_hot_keys_equals_broadcast(spark, hot_rows):
+    keys = [0, 1, 2, 3, None]
+    facts = spark.createDataFrame([(i, keys[i % 5] if i % 2 else 0) for i in range(300)], "id long, k long")
+    lookup = spark.createDataFrame([(0, "a"), (1, "b"), (None, "c")], "k long, v string")
     for how in ("inner", "left", "left_semi"):
-        a, b = (sorted(map(tuple, join_lookup(facts, lookup, ["k"], how, fits=f).collect()), key=str) for f in (True, False))
-        assert a == b
+        a, b = (sorted(map(tuple, join_lookup(facts, lookup, ["k"], how, fits=f, hot_rows=hot_rows).collect()), key=str) for f in (True, False))
+        assert a == b and len(a) > 100
 
 
 @pytest.mark.parametrize(("text", "value"), [("十", 10), ("十五", 15), ("二十", 20), ("两", 2), ("九十九", 99), ("３５", 35), ("1.5", 1.5), ("百", None), ("", None)])
