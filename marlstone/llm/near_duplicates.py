@@ -10,15 +10,22 @@ lost, and what survives is verified on the texts themselves.
 
 What bounds the work at any size:
 
-* rarity is counted in a fixed table of 2^20 token buckets (4 MB, broadcast). Any
-  order is exact, as long as both sides use the same; buckets cost rarity only;
+* rarity is counted in a table of 2^20 to 2^22 token buckets, as the corpus grows
+  (16 MB at most, broadcast). Any order is exact, as long as both sides use the
+  same; buckets cost rarity only;
 * the number of blocks grows with the postings, so a block stays a few megabytes;
-* a token with more than ``HOT`` holders is a grid of (rows x columns) tokens, each
-  comparing a share of the holders as lanes with a share as probes;
+* where a bucket holds more than ``HOT`` occurrences, its tokens are counted each
+  for itself, as often as they are posted. A token of more than ``HOT`` postings
+  is a grid of (rows x columns) tokens, each comparing a share of the holders as
+  lanes with a share as probes; all other tokens are posted once, however full
+  their bucket. The list of split tokens is broadcast; beyond ``HOT_TOKENS`` of
+  them the limit is doubled until they fit, as no more than postings / limit
+  tokens can exceed it, so no token is left out, only its cells are larger;
 * equal texts are merged before they are posted, per batch, and in the block.
 
-Classes are numbered by 64 bits of a cryptographic digest of the cleaned text; two
-of m texts share one with a chance of m^2 / 2^65.
+Classes are named by 128 bits of a cryptographic digest of the cleaned text. In
+blocks the first 64 stand for it, together with size and sketch; what comes out
+of a block is verified on all texts with these 64 bits.
 """
 
 from __future__ import annotations
@@ -36,19 +43,26 @@ from marlstone.functions.text import all_codes, cleaned, shingle_codes
 from marlstone.llm.bitslice import block_pairs, parity_sketches
 from marlstone.runtime import join_lookup, plain, spread, staged
 
-BUCKET_BITS = 20
-#: Holders of a token beyond which it is split.
-HOT = 20_000
-#: Postings a block aims at; a block of that many takes about 100 MB.
-BLOCK_ENTRIES = 1_500_000
-LEAST_BLOCKS = 12
+#: Bits of the rarity table at least and at most, and occurrences a bucket aims at between these.
+BUCKET_BITS, FULL = (20, 22), 16
+#: Postings of a token beyond which it is split, and the most tokens that may be.
+HOT, HOT_TOKENS = 20_000, 1_000_000
+#: Postings a block aims at; a block of that many is about 20 MB.
+BLOCK_ENTRIES = 400_000
+LEAST_BLOCKS = 2
+#: Copies of a text that meet all its copies in one task.
+COPIES = 2_000
 #: Sketch bits and largest set of the first size class; each further class is four times either.
 WIDTH, LARGEST = 192, 320
 BUNDLE_DOCS = 16_384
 
 
-def _class_of(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _class_of(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _short(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
 def _mixed(code: np.ndarray) -> np.ndarray:
@@ -59,21 +73,22 @@ def _mixed(code: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _bucket(token: np.ndarray) -> np.ndarray:
-    return (token >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def _bucket(token: np.ndarray, buckets: int) -> np.ndarray:
+    """``buckets`` is a power of two."""
+    return (token >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
 
 
 def _batches_of_classes(batches: Iterator[pd.DataFrame], n: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
     """(keys, token sets, sizes) of distinct classes, bundle by bundle."""
     for b in batches:
-        b = b.drop_duplicates("key")
+        b = b.drop_duplicates(["short", "text"])
         for at in range(0, len(b), BUNDLE_DOCS):
             part = b.iloc[at : at + BUNDLE_DOCS]
             sets = [shingle_codes(t, n) for t in part["text"]]
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             ends = np.cumsum(sizes)
             flat = _mixed(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.uint64)
-            yield part["key"].to_numpy(), [flat[b - n_ : b] for b, n_ in zip(ends.tolist(), sizes.tolist(), strict=True)], sizes
+            yield part["short"].to_numpy(), [flat[b - n_ : b] for b, n_ in zip(ends.tolist(), sizes.tolist(), strict=True)], sizes
 
 
 def _bundle(keys: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, entries: np.ndarray, token: np.ndarray, flags: np.ndarray) -> bytes:
@@ -97,11 +112,54 @@ def _unbundle(data: bytes) -> tuple[np.ndarray, ...]:
     return keys, sizes, np.repeat(np.arange(n), entries), sketches, token, packed[:, 3]
 
 
+def _prefix(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    return sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+
+
+def _picked(flat: np.ndarray, rarity: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``flat`` of each set's prefix, their numbers a set).
+
+    Rarest first, then by token; of tokens alike in both parts of the key the order of the codes decides, in every text.
+    """
+    rank = (rarity.astype(np.uint64) << np.uint64(33)) | (flat >> np.uint64(31))
+    starts = np.cumsum(sizes) - sizes
+    picks = [a + np.argsort(rank[a : a + n], kind="stable")[:k] for a, n, k in zip(starts.tolist(), sizes.tolist(), _prefix(sizes, threshold).tolist(), strict=True)]
+    return np.concatenate(picks), np.array([len(x) for x in picks])
+
+
+def posted_in_full_buckets(counts: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, postings of each) among the prefixes, of the buckets with more than HOT occurrences."""
+    flat = np.concatenate(sets)
+    rarity = counts[_bucket(flat, len(counts))]
+    # a set with as many rarer tokens as its prefix is long posts none of these
+    rarer = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[rarity <= HOT], minlength=len(sizes))
+    some = np.flatnonzero(rarer < _prefix(sizes, threshold))
+    if not len(some):
+        return flat[:0], np.zeros(0, dtype=np.int64)
+    own = np.isin(np.repeat(np.arange(len(sizes)), sizes), some)
+    flat, rarity = flat[own], rarity[own]
+    pick, _ = _picked(flat, rarity, sizes[some], threshold)
+    return np.unique(flat[pick[rarity[pick] > HOT]], return_counts=True)
+
+
 class Poster:
-    """Turns bundles of classes into rows (size class, block, bundle)."""
+    """Turns bundles of classes into rows (size class, block, bundle).
+
+    ``counts`` gives the rarity of a token's bucket; ``hot`` are the sorted tokens that are split, ``sides`` the rows and columns of each.
+    """
 
-    def __init__(self, counts: np.ndarray, blocks: int, threshold: float) -> None:
+    def __init__(self, counts: np.ndarray, blocks: int, threshold: float, hot: np.ndarray | None = None, sides: np.ndarray | None = None) -> None:
         self.counts, self.blocks, self.t = counts, blocks, threshold
+        self.hot = np.zeros(0, dtype=np.uint64) if hot is None else hot
+        self.sides = np.zeros(0, dtype=np.int64) if sides is None else sides
+
+    def _sides(self, token: np.ndarray) -> np.ndarray:
+        out = np.ones(len(token), dtype=np.int64)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, token), len(self.hot) - 1)
+            split = self.hot[at] == token
+            out[split] = self.sides[at[split]]
+        return out
 
     def _size_classes(self, size: int) -> list[int]:
         level = 0
@@ -113,14 +171,8 @@ class Poster:
         if not len(sets):
             return
         flat = np.concatenate(sets)
-        rarity = self.counts[_bucket(flat)].astype(np.uint64)
-        # rarest first, then by token; of tokens alike in both parts of the key the order of the codes decides, in every text
-        rank = (rarity << np.uint64(33)) | (flat >> np.uint64(31))
-        prefix = sizes - np.ceil(self.t * sizes - 1e-9).astype(np.int64) + 1
-        starts = np.cumsum(sizes) - sizes
-        picks = [a + np.argsort(rank[a : a + n], kind="stable")[:k] for a, n, k in zip(starts.tolist(), sizes.tolist(), prefix.tolist(), strict=True)]
-        lengths = np.array([len(x) for x in picks])
-        pick = np.concatenate(picks)
+        rarity = self.counts[_bucket(flat, len(self.counts))]
+        pick, lengths = _picked(flat, rarity, sizes, self.t)
         doc = np.repeat(np.arange(len(sets)), lengths)
         spot = np.arange(len(pick)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         shared = rarity[pick] > 1
@@ -146,9 +198,9 @@ class Poster:
         size = sizes[doc]
         index = size - np.ceil(2 * self.t / (1 + self.t) * size - 1e-9).astype(np.int64) + 1
         # 6 bits of position, rounded down so that a probe never looks at too few sizes
-        place = np.minimum(63, spot * 64 // np.maximum(1, size - np.ceil(self.t * size - 1e-9).astype(np.int64) + 1)).astype(np.uint8)
+        place = np.minimum(63, spot * 64 // np.maximum(1, _prefix(size, self.t))).astype(np.uint8)
         lane, probe = spot < index, np.ones(len(doc), dtype=bool)
-        sides = -(-self.counts[_bucket(token)].astype(np.int64) // HOT)
+        sides = self._sides(token)
         token = _mixed(token + np.uint64(level))
         doc, token, lane, probe, place = self._grid(keys, doc, token, lane, probe, place, sides)
         flags = (lane.astype(np.uint8) << 7) | (probe.astype(np.uint8) << 6) | place
@@ -166,16 +218,17 @@ class Poster:
         cool = sides <= 1
         if cool.all():
             return doc, token, lane, probe, place
-        parts = [(doc[cool], token[cool], lane[cool], probe[cool], place[cool])]
-        for i in np.flatnonzero(~cool):
-            side = int(sides[i])
-            own = np.uint64(int(keys[doc[i]]) % side)
-            cells, many = np.arange(side, dtype=np.uint64), np.uint64(side)
-            yes, no = np.ones(side, dtype=bool), np.zeros(side, dtype=bool)
-            at, spot = np.full(side, doc[i]), np.full(side, place[i])
-            if lane[i]:
-                parts.append((at, _mixed(token[i] + own * many + cells + np.uint64(1)), yes, no, spot))
-            parts.append((at, _mixed(token[i] + cells * many + own + np.uint64(1)), no, yes, spot))
+        hot = np.flatnonzero(~cool)
+        at = np.repeat(hot, sides[hot])
+        side = sides[at].astype(np.uint64)
+        cell = (np.arange(len(at)) - np.repeat(np.cumsum(sides[hot]) - sides[hot], sides[hot])).astype(np.uint64)
+        own = keys[doc[at]].astype(np.uint64) % side
+        yes, no = np.ones(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
+        parts = [
+            (doc[cool], token[cool], lane[cool], probe[cool], place[cool]),
+            tuple(x[lane[at]] for x in (doc[at], _mixed(token[at] + own * side + cell + np.uint64(1)), yes, no, place[at])),
+            (doc[at], _mixed(token[at] + cell * side + own + np.uint64(1)), no, yes, place[at]),
+        ]
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -187,12 +240,17 @@ def _compare(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     sketches = np.concatenate([p[3] for p in parts])
     doc = np.concatenate([p[2] + base[i] for i, p in enumerate(parts)])
     token, flags = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts])
-    keys, first, same = np.unique(keys, return_index=True, return_inverse=True)
+    named, first, same = np.unique(keys, return_index=True, return_inverse=True)
+    if (sizes != sizes[first[same]]).any() or (sketches != sketches[first[same]]).any():  # two texts of one short key
+        rows = np.hstack([x.astype("<i8").view(np.uint8).reshape(-1, 8) for x in (keys, sizes)] + [sketches])
+        _, first, same = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        named = keys[first]
+    keys = named
     own = first[same[doc]] == doc  # equal texts of other bundles have equal entries
     doc, token, flags = same[doc[own]], token[own], flags[own]
     sizes, sketches = sizes[first], sketches[first]
     size = sizes[doc]
-    prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+    prefix = _prefix(size, threshold)
     spot = (flags & 63).astype(np.int64) * prefix // 64
     most = np.floor((size - spot) * (1 + threshold) / threshold - size + 1e-9).astype(np.int64)
     pairs = block_pairs(sketches, sizes, doc, token, flags >= 128, (flags & 64) > 0, most, threshold)
@@ -217,29 +275,37 @@ def similar_texts(
     def tidy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out_of_it = skip.value
         for b in batches:
-            if out_of_it is not None:
-                b = b[np.array([not out_of_it(t) for t in b["text"]], dtype=bool)]
-            out = pd.DataFrame({"item": b["item"], "text": b["text"].map(cleaned)})
-            out = out[np.array([len(t) >= min_chars for t in out["text"]], dtype=bool)]
-            if len(out):
-                yield plain(out.assign(key=[_class_of(t) for t in out["text"]])[["item", "key", "text"]].astype({"key": "int64"}))
-
-    kept = rows.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
-    own = staged(spread(kept).mapInPandas(tidy, "item string, key long, text string"), "texts")
+            known = {}
+            for raw in b["raw"].unique():
+                t = cleaned(raw)
+                if len(t) >= min_chars and not (out_of_it is not None and out_of_it(raw)):
+                    key = _class_of(t)
+                    known[raw] = (_short(key), key, t)
+            b = b[b["raw"].isin(known.keys())]
+            if len(b):
+                found = [known[raw] for raw in b["raw"]]
+                out = {"item": b["item"], "short": [k[0] for k in found], "key": [k[1] for k in found], "text": [k[2] for k in found]}
+                yield plain(pd.DataFrame(out).astype({"short": "int64"}))
+
+    kept = rows.select(F.col(item).cast("string").alias("item"), F.col(text).alias("raw")).where(F.col("item").isNotNull() & (F.length("raw") > 0))
+    own = staged(spread(kept).mapInPandas(tidy, "item string, short long, key binary, text string"), "texts")
+    texts = own.select("short", "text")
+    total = own.agg(F.sum(F.greatest(F.length("text") - (n - 1), F.lit(0)))).first()[0] or 0
+    bits = min(max(BUCKET_BITS[0], math.ceil(math.log2(total / FULL + 1))), BUCKET_BITS[1])
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+        held = np.zeros(1 << bits, dtype=np.int64)
         for b in batches:
-            held += np.bincount(_bucket(_mixed(all_codes(b.drop_duplicates("key")["text"].tolist(), n))), minlength=len(held))
+            held += np.bincount(_bucket(_mixed(all_codes(b["text"].drop_duplicates().tolist(), n)), len(held)), minlength=len(held))
         at = np.flatnonzero(held)
         yield pd.DataFrame({"bucket": at.astype(np.int32), "n": held[at]})
 
-    table = own.select("key", "text").mapInPandas(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << BUCKET_BITS, dtype=np.int32)
-    counts[table["bucket"].to_numpy()] = np.minimum(table["n"].to_numpy(), np.iinfo(np.int32).max)
-    total = int(table["n"].to_numpy().sum()) if table.num_rows else 0
+    table = texts.mapInPandas(counted, "bucket int, n long").groupBy("bucket").agg(F.least(F.sum("n"), F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
+    counts = np.zeros(1 << bits, dtype=np.int32)
+    counts[table["bucket"].to_numpy()] = table["n"].to_numpy()
     blocks = max(LEAST_BLOCKS, math.ceil((1 - threshold) * total / BLOCK_ENTRIES))
-    poster = spark.sparkContext.broadcast(Poster(counts, blocks, threshold))
+    hot = _hot_tokens(texts, counts, n, threshold) if len(counts) and counts.max() > HOT else (None, None)
+    poster = spark.sparkContext.broadcast(Poster(counts, blocks, threshold, *hot))
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, sets, sizes in _batches_of_classes(batches, n):
@@ -250,12 +316,11 @@ def similar_texts(
     def compared(group: pd.DataFrame) -> pd.DataFrame:
         return _compare(group, threshold)
 
-    bundles = own.select("key", "text").mapInPandas(posted, "level int, block int, bundle binary")
+    bundles = texts.mapInPandas(posted, "level int, block int, bundle binary")
     near = staged(bundles.groupBy("level", "block").applyInPandas(compared, "a long, b long").distinct(), "candidates")
 
-    asked = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
-    texts = join_lookup(own.select("key", "text"), asked, ["key"], "left_semi").groupBy("key").agg(F.min("text").alias("text"))
-    texts = staged(texts, "asked")
+    asked = near.select(F.col("a").alias("short")).unionByName(near.select(F.col("b").alias("short"))).distinct()
+    wanted = staged(join_lookup(own.select("short", "key", "text"), asked, ["short"], "left_semi").dropDuplicates(["key"]), "asked")
 
     @F.pandas_udf("double")
     def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -273,39 +338,53 @@ def similar_texts(
             out.append(common / (len(a) + len(b) - common))
         return pd.Series(out, dtype="float64")
 
-    sides = near.join(texts.select(F.col("key").alias("a"), F.col("text").alias("_left")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("_right")), "b")
-    links = sides.select("a", "b", jaccard("_left", "_right").alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
-    return own.select("item", "key").distinct(), staged(links, "links")
+    left = wanted.select(F.col("short").alias("a"), F.col("key").alias("_a"), F.col("text").alias("_left"))
+    right = wanted.select(F.col("short").alias("b"), F.col("key").alias("_b"), F.col("text").alias("_right"))
+    both = join_lookup(join_lookup(near, left, ["a"], fits=False), right, ["b"], fits=False).where((F.col("a") < F.col("b")) | (F.col("_a") < F.col("_b")))
+    alike = both.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), jaccard("_left", "_right").alias("similarity"))
+    return own.select("item", "key").distinct(), staged(alike.where(F.col("similarity") >= threshold - 1e-12), "links")
 
 
-def pairs_of_items(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Columns item_a, item_b, item_a < item_b: items with linked or equal texts, each pair once."""
-    left = members.select(F.col("item").alias("x"), F.col("key").alias("a"))
-    right = members.select(F.col("item").alias("y"), F.col("key").alias("b"))
-    across = links.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
-    repeated = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key")
-    copies = join_lookup(members, repeated, ["key"], "left_semi")
-    within = copies.select(F.col("item").alias("x"), "key").join(copies.select(F.col("item").alias("y"), "key"), "key").where(F.col("x") < F.col("y")).select("x", "y")
-    both = across.unionByName(within).where(F.col("x") != F.col("y"))
-    return both.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b")).distinct()
+def _hot_tokens(texts: DataFrame, counts: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted tokens of more than HOT postings, at most HOT_TOKENS, and into how many rows and columns each is split."""
+    held = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, sets, sizes in _batches_of_classes(batches, n):
+            if len(sets):
+                token, many = posted_in_full_buckets(held.value, sets, sizes, threshold)
+                yield pd.DataFrame({"token": token.view(np.int64), "n": many})
+
+    often = texts.mapInPandas(posted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
+    often = staged(often, "hot")
+    limit, many = HOT, often.count()
+    while many > HOT_TOKENS:
+        limit *= 2
+        many = often.where(F.col("n") > limit).count()
+    table = often.where(F.col("n") > limit).toArrow()
+    token = table["token"].to_numpy().view(np.uint64)
+    order = np.argsort(token)
+    return token[order], -(-table["n"].to_numpy()[order] // limit)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Columns node, root: the least node of each node's connected component; (a, b) are edges.
+def pairs_of_items(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Columns item_a, item_b, item_a < item_b: items with linked or equal texts, each pair once.
 
-    Each round every node takes the least root among its own and its neighbours',
-    then its root's root; the labels are written to the shared folder, so lineage
-    stays short, and rounds grow with the logarithm of the diameter.
+    A text of many copies is split: a share of ``COPIES`` of them meets its partners in a task of its own.
     """
-    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = staged(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).select(F.col("a").alias("node"), "root"), "labels")
-    for _ in range(rounds):
-        seen = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
-        step = labels.join(seen.select(F.col("a").alias("node"), "r"), "node", "left").select("node", "root", F.least("root", F.coalesce("r", "root")).alias("new"))
-        jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        following = staged(step.join(jump, "new", "left").select("node", F.col("root").alias("old"), F.least("new", F.coalesce("far", "new")).alias("root")), "labels")
-        changed = following.where(F.col("old") != F.col("root")).limit(1).count()
-        labels = following.select("node", "root")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+    copies = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).withColumn("shares", F.ceil(F.col("n") / COPIES))
+    many = join_lookup(members, copies, ["key"])
+    share = F.pmod(F.xxhash64("item"), F.col("shares"))
+    each = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+    within = many.select("key", share.alias("share"), F.col("item").alias("x")).join(many.select("key", each, F.col("item").alias("y")), ["key", "share"])
+    within = within.where(F.col("x") < F.col("y")).select("x", "y")
+
+    def met(pairs: DataFrame, side: str, name: str) -> DataFrame:
+        """``pairs`` with the items of the class in column ``side``."""
+        few = join_lookup(pairs, copies.select(F.col("key").alias(side), "shares"), [side], "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+        own = join_lookup(members, copies, ["key"], "left").select(F.col("key").alias(side), F.coalesce(share, F.lit(0)).alias("share"), F.col("item").alias(name))
+        return few.select(*pairs.columns, each).join(own, [side, "share"]).drop("share", side)
+
+    across = met(met(links.select("a", "b"), "a", "x"), "b", "y").select("x", "y")
+    both = across.unionByName(within).where(F.col("x") != F.col("y"))
+    return both.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b")).distinct()

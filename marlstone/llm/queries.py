@@ -9,11 +9,12 @@ from marlstone.functions.codes import denoted_code, denoted_sql, family_key
 from marlstone.llm.caps import cap_contributors
 from marlstone.llm.mixing import mix, quality_weight
 from marlstone.llm.mojibake import detector, restore_garbled
-from marlstone.llm.near_duplicates import components, pairs_of_items, similar_texts
+from marlstone.llm.near_duplicates import pairs_of_items, similar_texts
 from marlstone.llm.overlap import cross_split_overlaps
 from marlstone.llm.packing import pack
 from marlstone.llm.residue import find_residue
 from marlstone.llm.tokens import token_count
+from marlstone.operators.datasets import connected
 from marlstone.runtime import spread
 from marlstone.tables import table
 
@@ -83,12 +84,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Each fact's group (its least class number) and its class's links; a fact whose texts have no relatives is a group of its own."""
+    """Each fact's group, named by its least class, and its classes' links. A fact whose texts have no relatives is a group of its
+    own; one of two texts joins the groups of both. Facts without a text of 40 cleaned characters, or with garbled ones only, have no row."""
     members, links = _similar(spark, d)
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
-    roots = components(links).select(F.col("node").alias("key"), "root")
+    bound = members.groupBy("item").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.count("*").alias("n")).where(F.col("n") > 1)
+    bound = members.join(bound, "item").select("a", F.col("key").alias("b")).where(F.col("a") != F.col("b"))
+    roots = connected(links.select("a", "b").unionByName(bound)).select(F.col("node").alias("key"), "component")
     each = members.join(roots, "key", "left").join(degree, "key", "left")
-    return each.groupBy(F.col("item").alias("factid")).agg(F.min(F.coalesce("root", "key")).alias("group_id"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"))
+    groups = each.groupBy(F.col("item").alias("factid")).agg(F.min(F.coalesce("component", "key")).alias("group_id"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"))
+    return groups.withColumn("group_id", F.lower(F.hex("group_id")))
 
 
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:

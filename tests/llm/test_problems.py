@@ -198,10 +198,55 @@ def test_near_duplicates_of_nothing_and_left_out(spark):
     assert near_duplicates.pairs_of_items(*near_duplicates.similar_texts(df, "factid", "rawtext")).count() == 1
 
 
-def test_components(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501), (501, 502)], "a long, b long")
-    got = {r["node"]: r["root"] for r in near_duplicates.components(edges).collect()}
-    assert {got[i] for i in range(101)} == {0} and got[502] == 500
+def sets_of(rng, docs, low, high):
+    sets = [np.unique(near_duplicates._mixed(np.array([rng.randrange(low, high) for _ in range(80)], dtype=np.int64))) for _ in range(docs)]
+    return sets, np.array([len(x) for x in sets])
+
+
+def test_postings_stay_level_as_the_corpus_grows():
+    sets, sizes = sets_of(random.Random(21), 60, 0, 4000)
+    flat = np.concatenate(sets)
+    counts = np.bincount(near_duplicates._bucket(flat, 1 << 20), minlength=1 << 20).astype(np.int64)
+    entries = []
+    for times in (1, 1_000, 20_000):
+        made = near_duplicates.Poster(np.minimum(counts * times, 2**31 - 1).astype(np.int32) + (times > 1), 4, 0.7).rows(np.arange(60), sets, sizes)
+        entries.append(sum(len(near_duplicates._unbundle(bundle)[2]) for _, _, bundle in made))
+    prefixes = sum(2 * (n - int(np.ceil(0.7 * n)) + 1) for n in sizes.tolist())
+    assert entries[1] == entries[2] <= prefixes
+
+
+def test_only_tokens_that_are_posted_too_often_are_split(monkeypatch):
+    monkeypatch.setattr(near_duplicates, "HOT", 40)
+    sets, sizes = sets_of(random.Random(22), 50, 0, 100_000)
+    held = near_duplicates._mixed(np.array([7], dtype=np.int64))
+    sets = [np.union1d(x, held) for x in sets]
+    sizes = np.array([len(x) for x in sets])
+    counts = np.full(1 << 20, 41, dtype=np.int32)  # every bucket is full
+    counts[near_duplicates._bucket(held, 1 << 20)] = 41
+    token, n = near_duplicates.posted_in_full_buckets(counts, sets, sizes, 0.7)
+    assert n.max() <= 50 and (n > 40).sum() <= 1
+    assert len(near_duplicates.posted_in_full_buckets(counts * 0 + 3, sets, sizes, 0.7)[0]) == 0
+
+
+def test_texts_of_one_short_key_are_kept_apart(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "_short", lambda key: 5)
+    rng = random.Random(23)
+    base = sentences(rng, 3, 18)
+    rows = [(i, mutated(rng, base[i % 3], 2)) for i in range(12)]
+    batch = __import__("pandas").DataFrame({"short": [5] * 12, "text": [cleaned(t) for _, t in rows]})
+    keys, sets, sizes = next(near_duplicates._batches_of_classes(iter([batch]), 3))
+    made = list(near_duplicates.Poster(np.full(1 << 20, 2, dtype=np.int32), 1, 0.7).rows(keys, sets, sizes))
+    out = near_duplicates._compare(__import__("pandas").DataFrame(made, columns=["level", "block", "bundle"]), 0.7)
+    alike = sum(jaccard(a, b, 3) >= 0.7 for i, a in enumerate(batch["text"]) for b in batch["text"][:i])
+    assert len(out) >= alike > 5
+
+
+def test_copies_are_shared_out(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "COPIES", 3)
+    members = spark.createDataFrame([(f"i{k:02d}", b"a") for k in range(10)] + [(f"j{k}", b"b") for k in range(4)] + [("z", b"c")], "item string, key binary")
+    links = spark.createDataFrame([(b"a", b"b", 0.8), (b"b", b"c", 0.9)], "a binary, b binary, similarity double")
+    got = near_duplicates.pairs_of_items(members, links).collect()
+    assert len(got) == len(set(got)) == 45 + 6 + 40 + 4 and all(r[0] < r[1] for r in got)
 
 
 # problem 6
