@@ -41,15 +41,15 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import all_codes, cleaned, shingle_codes
 from marlstone.llm.bitslice import block_pairs, parity_sketches
-from marlstone.runtime import join_lookup, plain, spread, staged
+from marlstone.runtime import BROADCAST_ROWS, join_lookup, plain, spread, staged, within
 
 #: Bits of the rarity table at least and at most, and occurrences a bucket aims at between these.
 BUCKET_BITS, FULL = (20, 22), 16
 #: Postings of a token beyond which it is split, and the most tokens that may be.
 HOT, HOT_TOKENS = 20_000, 1_000_000
-#: Postings a block aims at; a block of that many is about 20 MB.
-BLOCK_ENTRIES = 400_000
-LEAST_BLOCKS = 2
+#: Postings a block aims at; a block of that many takes about 100 MB.
+BLOCK_ENTRIES = 1_500_000
+LEAST_BLOCKS = 12
 #: Copies of a text that meet all its copies in one task.
 COPIES = 2_000
 #: Sketch bits and largest set of the first size class; each further class is four times either.
@@ -275,7 +275,7 @@ def similar_texts(
     def tidy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out_of_it = skip.value
         for b in batches:
-            known = {}
+            known, firsts = {}, set()
             for raw in b["raw"].unique():
                 t = cleaned(raw)
                 if len(t) >= min_chars and not (out_of_it is not None and out_of_it(raw)):
@@ -284,12 +284,13 @@ def similar_texts(
             b = b[b["raw"].isin(known.keys())]
             if len(b):
                 found = [known[raw] for raw in b["raw"]]
-                out = {"item": b["item"], "short": [k[0] for k in found], "key": [k[1] for k in found], "text": [k[2] for k in found]}
+                first = [k[1] not in firsts and not firsts.add(k[1]) for k in found]  # a text goes once a batch
+                out = {"item": b["item"], "short": [k[0] for k in found], "key": [k[1] for k in found], "text": [k[2] if f else None for k, f in zip(found, first, strict=True)]}
                 yield plain(pd.DataFrame(out).astype({"short": "int64"}))
 
     kept = rows.select(F.col(item).cast("string").alias("item"), F.col(text).alias("raw")).where(F.col("item").isNotNull() & (F.length("raw") > 0))
     own = staged(spread(kept).mapInPandas(tidy, "item string, short long, key binary, text string"), "texts")
-    texts = own.select("short", "text")
+    texts = own.select("short", "key", "text").where(F.col("text").isNotNull())
     total = own.agg(F.sum(F.greatest(F.length("text") - (n - 1), F.lit(0)))).first()[0] or 0
     bits = min(max(BUCKET_BITS[0], math.ceil(math.log2(total / FULL + 1))), BUCKET_BITS[1])
 
@@ -319,9 +320,6 @@ def similar_texts(
     bundles = texts.mapInPandas(posted, "level int, block int, bundle binary")
     near = staged(bundles.groupBy("level", "block").applyInPandas(compared, "a long, b long").distinct(), "candidates")
 
-    asked = near.select(F.col("a").alias("short")).unionByName(near.select(F.col("b").alias("short"))).distinct()
-    wanted = staged(join_lookup(own.select("short", "key", "text"), asked, ["short"], "left_semi").dropDuplicates(["key"]), "asked")
-
     @F.pandas_udf("double")
     def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
         known: dict[str, np.ndarray] = {}
@@ -338,11 +336,12 @@ def similar_texts(
             out.append(common / (len(a) + len(b) - common))
         return pd.Series(out, dtype="float64")
 
+    wanted = texts.repartition("short").groupBy("short", "key").agg(F.first("text").alias("text"))
     left = wanted.select(F.col("short").alias("a"), F.col("key").alias("_a"), F.col("text").alias("_left"))
     right = wanted.select(F.col("short").alias("b"), F.col("key").alias("_b"), F.col("text").alias("_right"))
     both = join_lookup(join_lookup(near, left, ["a"], fits=False), right, ["b"], fits=False).where((F.col("a") < F.col("b")) | (F.col("_a") < F.col("_b")))
     alike = both.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), jaccard("_left", "_right").alias("similarity"))
-    return own.select("item", "key").distinct(), staged(alike.where(F.col("similarity") >= threshold - 1e-12), "links")
+    return staged(own.select("item", "key").distinct(), "members"), staged(alike.where(F.col("similarity") >= threshold - 1e-12), "links")
 
 
 def _hot_tokens(texts: DataFrame, counts: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -372,19 +371,20 @@ def pairs_of_items(members: DataFrame, links: DataFrame) -> DataFrame:
 
     A text of many copies is split: a share of ``COPIES`` of them meets its partners in a task of its own.
     """
-    copies = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).withColumn("shares", F.ceil(F.col("n") / COPIES))
-    many = join_lookup(members, copies, ["key"])
-    share = F.pmod(F.xxhash64("item"), F.col("shares"))
-    each = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
-    within = many.select("key", share.alias("share"), F.col("item").alias("x")).join(many.select("key", each, F.col("item").alias("y")), ["key", "share"])
-    within = within.where(F.col("x") < F.col("y")).select("x", "y")
+    many = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > COPIES).select("key", F.ceil(F.col("n") / COPIES).alias("shares"))
+    many = staged(many, "many")
+    few = within(many, BROADCAST_ROWS)
+    shares, each = F.coalesce("shares", F.lit(1)), F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share")
+    counted = join_lookup(members, many, ["key"], "left", fits=few)
+    placed = counted.select("key", F.pmod(F.xxhash64("item"), shares).alias("share"), "item")
 
     def met(pairs: DataFrame, side: str, name: str) -> DataFrame:
         """``pairs`` with the items of the class in column ``side``."""
-        few = join_lookup(pairs, copies.select(F.col("key").alias(side), "shares"), [side], "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
-        own = join_lookup(members, copies, ["key"], "left").select(F.col("key").alias(side), F.coalesce(share, F.lit(0)).alias("share"), F.col("item").alias(name))
-        return few.select(*pairs.columns, each).join(own, [side, "share"]).drop("share", side)
+        met_by = join_lookup(pairs, many.withColumnRenamed("key", side), [side], "left", fits=few).select(*pairs.columns, each)
+        return met_by.join(placed.select(F.col("key").alias(side), "share", F.col("item").alias(name)), [side, "share"]).drop("share", side)
 
+    others = counted.select("key", each, F.col("item").alias("y"))
+    copies = placed.withColumnRenamed("item", "x").join(others, ["key", "share"]).where(F.col("x") < F.col("y")).select("x", "y")
     across = met(met(links.select("a", "b"), "a", "x"), "b", "y").select("x", "y")
-    both = across.unionByName(within).where(F.col("x") != F.col("y"))
+    both = across.unionByName(copies).where(F.col("x") != F.col("y"))
     return both.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b")).distinct()
