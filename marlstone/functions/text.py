@@ -15,11 +15,30 @@ import numpy as np
 _OTHER = re.compile(r"[\W_]+")
 
 
+def _plain_others() -> re.Pattern:
+    """Signs that NFKC turns into no letter or digit and that join with nothing, as ranges."""
+    points = [c for c in range(0x10000) if _OTHER.fullmatch(chr(c)) and not 0xD800 <= c < 0xE000 and not unicodedata.category(chr(c)).startswith("M")]
+    points = [c for c in points if not unicodedata.combining(chr(c)) and _OTHER.fullmatch(unicodedata.normalize("NFKC", chr(c)))]
+    starts = [c for c, before in zip(points, [-2, *points], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(points, [*points[1:], -2], strict=True) if c != after - 1]
+    return re.compile("[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True)) + "]+")
+
+
+_PLAIN_OTHER = _plain_others()
+
+
 def cleaned(text: str | None) -> str:
-    """NFKC, lower case, letters and digits only; null becomes the empty string."""
+    """NFKC, lower case, letters and digits only; null becomes the empty string.
+
+    Plain signs go first: what is left mostly is in normal form, which is faster to tell than to make.
+    """
     if not text:
         return ""
-    return _OTHER.sub("", unicodedata.normalize("NFKC", text).lower())
+    bare = _PLAIN_OTHER.sub("", text)
+    if not unicodedata.is_normalized("NFKC", bare) or "Σ" in bare:  # whose small form depends on what follows
+        bare = unicodedata.normalize("NFKC", text)
+    bare = bare.lower()
+    return bare if bare.isalnum() else _OTHER.sub("", bare)
 
 
 def shingle_codes(text: str, n: int) -> np.ndarray:

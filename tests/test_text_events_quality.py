@@ -1,13 +1,16 @@
 import datetime as dt
 import math
 import random
+import re
 import struct
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions import columns as C
+from marlstone.functions.text import cleaned
 from marlstone.operators import corpus, datasets, events, quality, retrieval
 from marlstone.sources import files
 from marlstone.sources.snapshots import Store
@@ -200,3 +203,11 @@ def test_increment_and_snapshots(spark, tmp_path):
     assert store.prune(1, leased={"s2"}) == [] and store.prune(1, apply=True) == ["s2"] and store.snapshots() == ["s0", "s1", "s3"]
     with pytest.raises(Exception, match="exist"):
         store.publish(a, "s3")
+
+
+def test_cleaning_equals_its_plain_form():
+    rng = random.Random(41)
+    pool = [chr(c) for c in (*range(0x20, 0x3400), *range(0xAC00, 0xAC40), *range(0xF900, 0x10000), 0x1D400, 0x20000, 0x1F600) if not 0xD800 <= c < 0xE000]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(1, 6)))
+        assert cleaned(text) == re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", text).lower()), ascii(text)
