@@ -318,6 +318,9 @@ class Detector:
         self.usual = math.log(0.003)
         self.told: dict[str, str | None] = {}
         self.tables = tables()
+        #: Han that the corpus often has is no reason to look closer, as no form is made of it alone.
+        often = {c for c, n in self.seen.items() if n > self.usual and "一" <= c <= "鿿"} - ANCHORS
+        self.sound = (_SOUND | often) - set("".join(_LOST_WORDS))
         # a sign the corpus nowhere has can't be told by its neighbours
         possible = [g for g, signs in SINGLE_FORMS.items() if any(x in chars for x in signs)]
         self.turned = frozenset(possible)
@@ -332,21 +335,25 @@ class Detector:
 
     def spans(self, text: str) -> list[tuple[int, int, str | None]]:
         """(start, end, restored or None where lost) of the garbled spans, in order, disjoint."""
-        tab, found, chars = self.tables, [], set(text)
-        odd = chars - _SOUND
-        if odd or any(x in text for x in _LOST_WORDS):
+        found: list[tuple[int, int, str | None]] = []
+        chars = set(text)
+        odd = chars - self.sound
+        if odd:
             if any(x in text for x in _LOST_WORDS) or any(_LOST.match(c) for c in odd):
                 found += [(m.start(), m.end(), None) for m in _LOST.finditer(text)]
-            hits = tab.hits(text)
+            rare = any(self.log.get(c, self.floor) <= self.usual for c in odd)
+            hits = self.tables.hits(text) if rare or any(c < "⺀" or c > "\ufaff" for c in odd) else []
             if hits:
                 found += self._letters(text, hits)
                 found += self._single_byte(text, [h for h in hits if h[4] in SINGLE and h[3] in MEANT])
-                if any(self.log.get(c, self.floor) <= self.usual for c in odd):
+                if rare:
                     found += self._runs(text, [h for h in hits if h[4] in WIDE])
             if not odd.isdisjoint(ANCHORS):
                 found += [(m.start(), m.end(), None) for m in _ANCHORED.finditer(text)]
         if not chars.isdisjoint(self.turned):
             found += self._signs(text)
+        if not found:
+            return found
         out: list[tuple[int, int, str | None]] = []
         for start, end, new in sorted(found, key=lambda s: (s[0], -s[1], s[2] is None)):
             if not out or start >= out[-1][1]:

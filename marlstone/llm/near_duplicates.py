@@ -50,6 +50,8 @@ HOT, HOT_TOKENS = 20_000, 1_000_000
 #: Postings a block aims at; a block of that many takes about 100 MB.
 BLOCK_ENTRIES = 1_500_000
 LEAST_BLOCKS = 12
+#: Classes that are asked for and may be broadcast, eight bytes each.
+ASKED = 1_000_000
 #: Copies of a text that meet all its copies in one task.
 COPIES = 2_000
 #: Sketch bits and largest set of the first size class; each further class is four times either.
@@ -336,7 +338,8 @@ def similar_texts(
             out.append(common / (len(a) + len(b) - common))
         return pd.Series(out, dtype="float64")
 
-    wanted = texts.repartition("short").groupBy("short", "key").agg(F.first("text").alias("text"))
+    asked = near.select(F.explode(F.array("a", "b")).alias("short")).distinct()
+    wanted = join_lookup(texts, asked, ["short"], "left_semi", bound=ASKED).repartition("short").groupBy("short", "key").agg(F.first("text").alias("text"))
     left = wanted.select(F.col("short").alias("a"), F.col("key").alias("_a"), F.col("text").alias("_left"))
     right = wanted.select(F.col("short").alias("b"), F.col("key").alias("_b"), F.col("text").alias("_right"))
     both = join_lookup(join_lookup(near, left, ["a"], fits=False), right, ["b"], fits=False).where((F.col("a") < F.col("b")) | (F.col("_a") < F.col("_b")))
