@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Rows of a side that may be broadcast; every caller has narrow rows (< 200 bytes), so this bounds a broadcast to ~20 MB.
 BROADCAST_ROWS = 100_000
 #: Keys at most that a join handles apart for being frequent, and from how many rows on.
-HOT_KEYS, HOT_ROWS = 1_000, 200_000
+HOT_KEYS, HOT_ROWS = 1_000, 1_000_000
 
 
 def local_session(cores: str | int = "*", shuffle: int = 8, **conf: str) -> SparkSession:
@@ -106,7 +106,7 @@ def join_lookup(
     on: list[str],
     how: str = "inner",
     bound: int = BROADCAST_ROWS,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     fits: bool | None = None,
 ) -> DataFrame:
     """Join a large, possibly skewed side with a lookup that is unique by ``on``.
@@ -115,12 +115,15 @@ def join_lookup(
     than ``hot_rows`` rows of ``facts``, null among them, are found by a count
     and joined apart: of the commonest ``HOT_KEYS`` the lookup's rows are
     broadcast. All else is shuffled, and no key left there holds more than
-    ``hot_rows`` rows or a thousandth of all. Null keys match nothing.
+    ``hot_rows`` rows or a thousandth of all. Null keys match nothing. Where ``facts``
+    is known to have no frequent keys, ``hot_rows`` None saves the count.
     """
     if fits is None:
         fits = within(lookup, bound)
     if fits:
         return facts.join(F.broadcast(lookup), on, how)
+    if hot_rows is None:
+        return facts.join(lookup, on, how)
     often = facts.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
     hot = staged(often.orderBy(F.desc("_n")).limit(HOT_KEYS).select(*[F.col(c).alias(f"_hot_{c}") for c in on]), "hot")
     if not hot.limit(1).count():

@@ -113,7 +113,7 @@ def test_failed_chunks_take_the_median(spark):
     assert got[5] == (0.05, True) and got[25] == (pytest.approx(0.095), False)
 
 
-@pytest.mark.parametrize("hot_rows", [50, 200_000])
+@pytest.mark.parametrize("hot_rows", [50, 200_000, None])
 def test_join_with_hot_keys_equals_broadcast(spark, hot_rows):
     keys = [0, 1, 2, 3, None]
     facts = spark.createDataFrame([(i, keys[i % 5] if i % 2 else 0) for i in range(300)], "id long, k long")
