@@ -30,7 +30,9 @@ from __future__ import annotations
 
 import codecs
 import math
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -263,6 +265,13 @@ class Tables:
                 self.automaton.add_word(_bytewise(form.encode("utf-8")), i * 8 + len(form))
         self.automaton.make_automaton()
 
+    def __getstate__(self) -> dict:
+        """Compressed, as every executor gets a copy."""
+        return self.__dict__ | {"automaton": zlib.compress(pickle.dumps(self.automaton), 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"automaton": pickle.loads(zlib.decompress(state["automaton"]))})
+
     def hits(self, text: str) -> list[tuple[int, int, str, str, str]]:
         """(start, end, character or NUL, meant, wrong) of every form in the text."""
         data = text.encode("utf-8", "surrogatepass")
@@ -367,8 +376,13 @@ class Detector:
             return []
         out = self._with_ascii(text, [h for h in hits if any(c < "\x80" for c in text[h[0] : h[1]])])
         hits = [h for h in hits if all(c >= "\x80" for c in text[h[0] : h[1]])]
+        at = 0
         for m in _RUN.finditer(text):
-            inside = [h for h in hits if m.start() <= h[0] and h[1] <= m.end()]
+            inside = []
+            while at < len(hits) and hits[at][1] <= m.end():
+                if hits[at][0] >= m.start():
+                    inside.append(hits[at])
+                at += 1
             if not inside or self._word_like(text, m.start(), m.end()):
                 continue
             whole = self._turned(m.group(), inside)

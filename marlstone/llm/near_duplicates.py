@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import all_codes, cleaned, shingle_codes
 from marlstone.llm.bitslice import block_pairs, parity_sketches
-from marlstone.runtime import BROADCAST_ROWS, join_lookup, plain, spread, staged, within
+from marlstone.runtime import BROADCAST_ROWS, HOT_ROWS, join_lookup, plain, spread, staged, within
 
 #: Bits of the rarity table at least and at most, and occurrences a bucket aims at between these.
 BUCKET_BITS, FULL = (20, 22), 16
@@ -342,7 +342,8 @@ def similar_texts(
     wanted = join_lookup(texts, asked, ["short"], "left_semi", bound=ASKED).repartition("short").groupBy("short", "key").agg(F.first("text").alias("text"))
     left = wanted.select(F.col("short").alias("a"), F.col("key").alias("_a"), F.col("text").alias("_left"))
     right = wanted.select(F.col("short").alias("b"), F.col("key").alias("_b"), F.col("text").alias("_right"))
-    both = join_lookup(join_lookup(near, left, ["a"], fits=False), right, ["b"], fits=False).where((F.col("a") < F.col("b")) | (F.col("_a") < F.col("_b")))
+    hot_rows = HOT_ROWS if near.count() > HOT_ROWS else None
+    both = join_lookup(join_lookup(near, left, ["a"], fits=False, hot_rows=hot_rows), right, ["b"], fits=False, hot_rows=hot_rows).where((F.col("a") < F.col("b")) | (F.col("_a") < F.col("_b")))
     alike = both.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), jaccard("_left", "_right").alias("similarity"))
     return staged(own.select("item", "key").distinct(), "members"), staged(alike.where(F.col("similarity") >= threshold - 1e-12), "links")
 
@@ -376,17 +377,21 @@ def pairs_of_items(members: DataFrame, links: DataFrame) -> DataFrame:
     """
     many = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > COPIES).select("key", F.ceil(F.col("n") / COPIES).alias("shares"))
     many = staged(many, "many")
-    few = within(many, BROADCAST_ROWS)
-    shares, each = F.coalesce("shares", F.lit(1)), F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share")
-    counted = join_lookup(members, many, ["key"], "left", fits=few)
-    placed = counted.select("key", F.pmod(F.xxhash64("item"), shares).alias("share"), "item")
+    few, some = within(many, BROADCAST_ROWS), many.limit(1).count() > 0
+    shares = F.coalesce("shares", F.lit(1).cast("long")) if some else F.lit(1)
+    share, each = (F.pmod(F.xxhash64("item"), shares), F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))) if some else (F.lit(0), F.lit(0).cast("long"))
+
+    def with_shares(rows: DataFrame, key: str) -> DataFrame:
+        return join_lookup(rows, many.withColumnRenamed("key", key), [key], "left", fits=few) if some else rows
 
     def met(pairs: DataFrame, side: str, name: str) -> DataFrame:
         """``pairs`` with the items of the class in column ``side``."""
-        met_by = join_lookup(pairs, many.withColumnRenamed("key", side), [side], "left", fits=few).select(*pairs.columns, each)
-        return met_by.join(placed.select(F.col("key").alias(side), "share", F.col("item").alias(name)), [side, "share"]).drop("share", side)
+        own = placed.select(F.col("key").alias(side), "share", F.col("item").alias(name))
+        return with_shares(pairs, side).select(*pairs.columns, each.alias("share")).join(own, [side, "share"]).drop("share", side)
 
-    others = counted.select("key", each, F.col("item").alias("y"))
+    counted = with_shares(members, "key")
+    placed = counted.select("key", share.cast("long").alias("share"), "item")
+    others = counted.select("key", each.alias("share"), F.col("item").alias("y"))
     copies = placed.withColumnRenamed("item", "x").join(others, ["key", "share"]).where(F.col("x") < F.col("y")).select("x", "y")
     across = met(met(links.select("a", "b"), "a", "x"), "b", "y").select("x", "y")
     both = across.unionByName(copies).where(F.col("x") != F.col("y"))
