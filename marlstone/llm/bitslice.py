@@ -8,7 +8,7 @@ lies within a radius given by the two sizes: discarding beyond it is exact.
 Lanes are stored as bit planes: word ``w`` of plane ``p`` holds bit ``p`` of 64
 sketches. A query is compared with 64 lanes by one XOR a plane; the result bits
 are counted with carry-save adders, eight planes at a time, into counters that
-are themselves bit planes. After seven twelfths and after three quarters of the
+are themselves bit planes. After half and after three quarters of the
 planes, words in which all lanes exceed the radius are abandoned.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
-ITEMS = 16_384
+ITEMS = 32_768
 LANES = 1 << 16
 
 
@@ -95,7 +95,7 @@ def within_radius(planes: np.ndarray, word: np.ndarray, query: np.ndarray, radiu
     width, n = planes.shape[0], len(word)
     counters = Counters(n, max(4, int(width).bit_length()))
     out, live = np.zeros(n, dtype=np.uint64), np.arange(n)
-    stops = [0, width * 7 // 12 // 8 * 8, width * 3 // 4 // 8 * 8, width]
+    stops = [0, width // 2 // 8 * 8, width * 3 // 4 // 8 * 8, width]
     for begin, end in zip(stops, stops[1:], strict=False):
         columns = np.ascontiguousarray(query[:, begin // 8 : end // 8].T)
         m = len(word)
@@ -163,7 +163,9 @@ def block_pairs(sketches: np.ndarray, sizes: np.ndarray, doc: np.ndarray, token:
         total = int(ends[-1])
         for at in range(0, total, ITEMS):
             i = np.arange(at, min(at + ITEMS, total))
-            who = np.searchsorted(ends, i, side="right")
+            one, last_one = np.searchsorted(ends, [i[0], i[-1]], side="right")
+            share = np.minimum(ends[one : last_one + 1], i[-1] + 1) - np.maximum(ends[one : last_one + 1] - words[one : last_one + 1], i[0])
+            who = np.repeat(np.arange(one, last_one + 1), share)
             word = first[who] + i - (ends[who] - words[who])
             left = np.maximum(a[who] - word * 64, 0).astype(np.uint64)
             right = np.minimum(b[who] - word * 64, 64).astype(np.uint64)

@@ -49,7 +49,8 @@ BUCKET_BITS, FULL = (20, 22), 16
 HOT, HOT_TOKENS = 20_000, 1_000_000
 #: Postings a block aims at; a block of that many takes about 100 MB.
 BLOCK_ENTRIES = 1_500_000
-LEAST_BLOCKS = 12
+LEAST_BLOCKS = 8
+SLOTS = 512
 #: Classes that are asked for and may be broadcast, eight bytes each.
 ASKED = 1_000_000
 #: Copies of a text that meet all its copies in one task.
@@ -98,18 +99,19 @@ def _bundle(keys: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, entries:
     packed = np.empty((len(token), 4), dtype=np.uint8)
     packed[:, :3] = (token & np.uint64(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
     packed[:, 3] = flags
-    head = np.array([len(keys), sketches.shape[1]], dtype="<u4").tobytes()
-    return head + keys.astype("<i8").tobytes() + sizes.astype("<u4").tobytes() + entries.astype("<u4").tobytes() + sketches.tobytes() + packed.tobytes()
+    size, many = (1 if x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4 for x in (sizes, entries))
+    head = np.array([len(keys), sketches.shape[1], size, many], dtype="<u4").tobytes()
+    return head + keys.astype("<i8").tobytes() + sizes.astype(f"<u{size}").tobytes() + entries.astype(f"<u{many}").tobytes() + sketches.tobytes() + packed.tobytes()
 
 
 def _unbundle(data: bytes) -> tuple[np.ndarray, ...]:
-    n, w = np.frombuffer(data, "<u4", 2)
-    at, n, w = 8, int(n), int(w)
-    keys = np.frombuffer(data, "<i8", n, at)
-    sizes = np.frombuffer(data, "<u4", n, at + 8 * n).astype(np.int64)
-    entries = np.frombuffer(data, "<u4", n, at + 12 * n).astype(np.int64)
-    sketches = np.frombuffer(data, np.uint8, n * w, at + 16 * n).reshape(n, w)
-    packed = np.frombuffer(data, np.uint8, offset=at + 16 * n + n * w).reshape(-1, 4)
+    n, w, size, many = (int(x) for x in np.frombuffer(data, "<u4", 4))
+    parts, at = [], 16
+    for kind, count in (("<i8", n), (f"<u{size}", n), (f"<u{many}", n), ("u1", n * w)):
+        parts.append(np.frombuffer(data, kind, count, at))
+        at += parts[-1].nbytes
+    keys, sizes, entries, sketches = parts[0], parts[1].astype(np.int64), parts[2].astype(np.int64), parts[3].reshape(n, w)
+    packed = np.frombuffer(data, np.uint8, offset=at).reshape(-1, 4)
     token = packed[:, 0].astype(np.int64) | packed[:, 1].astype(np.int64) << 8 | packed[:, 2].astype(np.int64) << 16
     return keys, sizes, np.repeat(np.arange(n), entries), sketches, token, packed[:, 3]
 
@@ -144,6 +146,24 @@ def posted_in_full_buckets(counts: np.ndarray, sets: list[np.ndarray], sizes: np
     return np.unique(flat[pick[rarity[pick] > HOT]], return_counts=True)
 
 
+def may_post_full(texts: list[str], n: int, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """For each text, whether its prefix may hold a token of a bucket with more than HOT occurrences; never false where it does.
+
+    Distinct rarer tokens are counted in ``SLOTS`` slots a text: at most as many as there are. Repeats only lengthen the prefix reckoned with.
+    """
+    joined = np.frombuffer("\0".join([*texts, "\0" * n]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    code, inside, end = joined[: len(joined) - n + 1].copy(), joined[: len(joined) - n + 1] != 0, len(joined) - n + 1
+    for k in range(1, n):
+        code = (code << 21) | joined[k : end + k]
+        inside &= joined[k : end + k] != 0
+    doc = (np.cumsum(joined == 0)[:end])[inside]
+    token = _mixed(code[inside])
+    rare = counts[_bucket(token, len(counts))] <= HOT
+    slots = np.zeros(len(texts) * SLOTS, dtype=bool)
+    slots[doc[rare] * SLOTS + (token[rare] % np.uint64(SLOTS)).astype(np.int64)] = True
+    return slots.reshape(-1, SLOTS).sum(axis=1) < _prefix(np.bincount(doc, minlength=len(texts)), threshold)
+
+
 class Poster:
     """Turns bundles of classes into rows (size class, block, bundle).
 
@@ -353,7 +373,8 @@ def _hot_tokens(texts: DataFrame, counts: np.ndarray, n: int, threshold: float)
     held = texts.sparkSession.sparkContext.broadcast(counts)
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, sets, sizes in _batches_of_classes(batches, n):
+        some = (b[may_post_full(b["text"].tolist(), n, held.value, threshold)] for b in batches)
+        for _, sets, sizes in _batches_of_classes(some, n):
             if len(sets):
                 token, many = posted_in_full_buckets(held.value, sets, sizes, threshold)
                 yield pd.DataFrame({"token": token.view(np.int64), "n": many})

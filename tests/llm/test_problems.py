@@ -228,6 +228,20 @@ def test_only_tokens_that_are_posted_too_often_are_split(monkeypatch):
     assert len(near_duplicates.posted_in_full_buckets(counts * 0 + 3, sets, sizes, 0.7)[0]) == 0
 
 
+def test_texts_that_may_post_full_buckets_are_all_looked_at(monkeypatch):
+    rng = random.Random(24)
+    texts = ["".join(rng.choice("甲乙丙丁戊己庚辛") for _ in range(rng.randint(40, 900))) for _ in range(60)] + ["甲乙" * 30]
+    every = near_duplicates._mixed(all_codes(texts, 3))
+    counts = np.bincount(near_duplicates._bucket(every, 1 << 20), minlength=1 << 20)
+    for hot in (10, 60, 100, 10_000):
+        monkeypatch.setattr(near_duplicates, "HOT", hot)
+        may = near_duplicates.may_post_full(texts, 3, counts, 0.7)
+        for t, m in zip(texts, may.tolist(), strict=True):
+            own = near_duplicates._mixed(shingle_codes(t, 3))
+            posted = len(near_duplicates.posted_in_full_buckets(counts, [own], np.array([len(own)]), 0.7)[0])
+            assert m or not posted
+
+
 def test_texts_of_one_short_key_are_kept_apart(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "_short", lambda key: 5)
     rng = random.Random(23)
