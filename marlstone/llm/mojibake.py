@@ -185,6 +185,11 @@ def _forms(chars: list[str], meant: str, wrong: str) -> dict[str, str]:
     return out
 
 
+@lru_cache(maxsize=None)
+def _chars_of(wrong: str) -> frozenset[str]:
+    return frozenset(_decode(bytes(range(256)), wrong))
+
+
 @lru_cache(maxsize=None)
 def _page(wrong: str) -> re.Pattern:
     """Stretches of a page's upper half and plain letters and signs that begin with the former."""
@@ -422,8 +427,10 @@ class Detector:
             others = []
         else:
             others = [(x, w) for x in MEANT[:3] for w in SINGLE]
-        best, found = None, -math.inf
+        best, found, chars = None, -math.inf, set(run)
         for meant, wrong in sorted(votes, key=lambda v: -votes[v]) + others:
+            if not chars <= _chars_of(wrong):
+                continue
             try:
                 back = _encode(run, wrong).decode(meant)
             except UnicodeError:
@@ -555,8 +562,10 @@ class Detector:
     @staticmethod
     def _backs(part: str) -> Iterator[str]:
         for wrong in MULTI:
+            if len(part.encode(wrong, "replace")) - len(part.encode(wrong, "ignore")) > 0.3 * len(part):
+                continue
             data = part.encode(wrong, "marlstone-user-defined")
-            if len(data) < 2 or len(part.encode(wrong, "replace")) - len(part.encode(wrong, "ignore")) > 0.3 * len(part):
+            if len(data) < 2:
                 continue
             for meant in MEANT:
                 if (meant == "gb18030") != (wrong == "gbk") or meant == "utf_8":
