@@ -118,12 +118,12 @@ def test_restore_garbled_rows(spark, found):
 # problem 4
 
 
-@pytest.mark.parametrize("bound", [100_000, 0])
-def test_caps_against_sorting(spark, bound):
+@pytest.mark.parametrize(("bound", "rank_rows"), [(100_000, 10_000), (0, 10_000), (100_000, 3)])
+def test_caps_against_sorting(spark, bound, rank_rows):
     rng = random.Random(3)
     rows = [(i, rng.choice([None, "a", "a", "a", "b", "c"]), rng.choice([None, "x", "x", "y"]), rng.choice([None, 0, 1, 2, 3])) for i in range(600)]
     df = spark.createDataFrame([(*r, "z") for r in rows], "pairid long, code string, family string, label int, kept string")
-    got = caps.cap_contributors(df, [F.col("code"), F.col("family")], F.col("label"), F.col("pairid"), cap=12, bound=bound)
+    got = caps.cap_contributors(df, [F.col("code"), F.col("family")], F.col("label"), F.col("pairid"), cap=12, bound=bound, rank_rows=rank_rows)
     groups = {}
     for r in rows:
         if r[1] is not None and r[2] is not None:
@@ -132,10 +132,14 @@ def test_caps_against_sorting(spark, bound):
     assert {r["pairid"] for r in got.where(~F.col("kept")).collect()} == cut and got.count() == 600
 
 
-def test_caps_with_ties_repeats_and_shares(spark):
-    same = spark.createDataFrame([(1, "a", 2.5)] * 30, "pairid long, code string, q double")
-    got = caps.cap_contributors(same, [F.col("code")], F.col("q"), F.col("pairid"), cap=12)
+@pytest.mark.parametrize("rank_rows", [10_000, 5])
+def test_caps_with_ties_repeats_and_shares(spark, rank_rows):
+    same = spark.createDataFrame([(1, "a", 2.5)] * 30, "pairid long, code string, q double").repartition(3)
+    got = caps.cap_contributors(same, [F.col("code")], F.col("q"), F.col("pairid"), cap=12, rank_rows=rank_rows)
     assert got.where("kept").count() == 12 and got.count() == 30
+    mixed = same.unionByName(spark.createDataFrame([(0, "a", 2.5), (2, "a", 2.5), (9, "a", 3.0)], same.schema))
+    got = caps.cap_contributors(mixed, [F.col("code")], F.col("q"), F.col("pairid"), cap=12, rank_rows=rank_rows).where("kept")
+    assert sorted(r["pairid"] for r in got.collect()) == [0] + [1] * 10 + [9]
     other = spark.createDataFrame([(None, "a", None), (1, "a", 0.9), (2, "a", 0.8), (3, "b", 0.1)], "pairid long, code string, q double")
     got = caps.cap_contributors(other, [F.col("code")], F.col("q"), F.col("pairid"), share=0.5)
     assert sorted(r["pairid"] for r in got.where("kept").collect()) == [1, 2, 3]
