@@ -4,7 +4,9 @@ Each record gets the key ``-ln(u) / weight`` of Efraimidis and Spirakis, with
 ``u`` from a hash of the record, so a rerun draws the same. Sorted by key within
 its source, the prefix of records whose token sum stays within the budget is the
 weighted sample; a record too large for what is left is passed over and the next
-that fit fill the rest, so one long record can't leave a small source short. A source whose budget exceeds its size is used in complete
+that fit fill the rest. What then is still open is closed by a subset sum over the
+last records drawn and the next ones after them, ``POOL`` in all, so a few long
+records can't leave a small source short. A source whose budget exceeds its size is used in complete
 epochs first and only the remainder is drawn.
 
 No source is ever sorted as a whole: token sums by key bin give the prefix sum up
@@ -27,6 +29,10 @@ from marlstone.runtime import plain, staged
 
 BINS = 1024
 RANK_ROWS = 50_000
+#: Sources at most; their targets are collected.
+SOURCES = 10_000
+#: Records drawn last, and records in all, among which the open rest of a budget is closed, and the largest rest looked at.
+TAIL, POOL, REST = 24, 64, 1 << 22
 
 
 def quality_weight(text: Column) -> Column:
@@ -48,10 +54,12 @@ def mix(
     rank_rows: int = RANK_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares). chosen: record, source, tokens, repeats >= 1. shares: source, target_share,
-    available_tokens, max_repeats, budget_tokens, chosen_tokens, actual_share.
+    available_tokens, max_repeats, budget_tokens, chosen_tokens, actual_share, limits_total (whether this
+    source is what keeps the total from being larger).
 
     ``targets`` has source, targetshare, maxrepeats, one row a source (fixed and
-    small: it is collected, at most 10,000 rows). ``total`` defaults to the most
+    small: it is collected; more than ``SOURCES`` rows, or two of one source, are an
+    error). ``total`` defaults to the most
     tokens at which no source needs more than its repeats; a larger ``total``
     leaves short sources at their cap, which the report shows. Sources without a
     target, or with a null name, are left out; sources with a target and no
@@ -59,7 +67,12 @@ def mix(
     weight counts as the least. Repeated records are drawn each on its own.
     """
     spark = records.sparkSession
-    wanted = {r["source"]: (float(r["targetshare"] or 0), int(r["maxrepeats"] or 0)) for r in targets.where(F.col("source").isNotNull()).limit(10_000).collect()}
+    rows = targets.where(F.col("source").isNotNull()).limit(SOURCES + 1).collect()
+    if len(rows) > SOURCES:
+        raise ValueError(f"targets of more than {SOURCES} sources")
+    wanted = {r["source"]: (float(r["targetshare"] or 0), int(r["maxrepeats"] or 0)) for r in rows}
+    if len(wanted) < len(rows):
+        raise ValueError("two targets of one source")
     key = F.xxhash64(F.col(record_id), F.col(tokens), F.lit(seed))
     unit = (F.shiftrightunsigned(key, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     base = staged(
@@ -75,6 +88,7 @@ def mix(
     live = {s: w for s, w in wanted.items() if s in sums and w[0] > 0 and w[1] > 0}
     if total is None:
         total = min((int(rep * sums[s][0] / share) for s, (share, rep) in live.items()), default=0)
+    limiting = {s for s, (share, rep) in live.items() if int(rep * sums[s][0] / share) <= total}
     budget = {s: min(int(round(share * total)), rep * sums[s][0]) for s, (share, rep) in live.items()}
     epochs = {s: b // sums[s][0] for s, b in budget.items()}
     rest = {s: b % sums[s][0] for s, b in budget.items()}
@@ -122,6 +136,7 @@ def mix(
         for size in group["tokens"].tolist():
             extra.append(size <= room)
             room -= size if size <= room else 0
+        extra = closed(group["tokens"].tolist(), extra, room)
         return plain(pd.DataFrame({"record": group["record"], "source": group["source"], "tokens": group["tokens"], "repeats": group["epochs"] + np.array(extra, dtype=np.int64)}))
 
     drawn = edge.groupBy("source").applyInPandas(filled, T.StructType([base.schema["record"], base.schema["source"], base.schema["tokens"], T.StructField("repeats", T.LongType())]))
@@ -133,8 +148,8 @@ def mix(
     )
     known = _lookup(
         spark,
-        [(s, share, sums.get(s, (0, 0))[0], rep, budget.get(s, 0)) for s, (share, rep) in wanted.items()],
-        "source string, target_share double, available_tokens long, max_repeats int, budget_tokens long",
+        [(s, share, sums.get(s, (0, 0))[0], rep, budget.get(s, 0), s in limiting) for s, (share, rep) in wanted.items()],
+        "source string, target_share double, available_tokens long, max_repeats int, budget_tokens long, limits_total boolean",
     )
     used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("chosen_tokens"))
     shares = known.join(used, "source", "left").fillna(0, ["chosen_tokens"])
@@ -143,6 +158,31 @@ def mix(
     return chosen, shares
 
 
+def closed(sizes: list[int], drawn: list[bool], room: int) -> list[bool]:
+    """``drawn`` with the last records exchanged for such that leave less ``room``; earlier records are preferred among equal sums.
+
+    The sums that can be reached are the bits of a number, one number after each record.
+    """
+    chosen, spare = [i for i, d in enumerate(drawn) if d], [i for i, d in enumerate(drawn) if not d]
+    if not room or not spare:
+        return drawn
+    tail = chosen[-TAIL:]
+    while tail and room + sum(sizes[i] for i in tail) > REST:
+        tail = tail[1:]
+    most = room + sum(sizes[i] for i in tail)
+    if most > REST:
+        return drawn
+    free = tail + [i for i in spare if sizes[i] <= most][: POOL - len(tail)]
+    reach, mask = [1], (1 << (most + 1)) - 1
+    for i in free:
+        reach.append(reach[-1] | (reach[-1] << sizes[i]) & mask)
+    best, out = reach[-1].bit_length() - 1, list(drawn)
+    for k in reversed(range(len(free))):
+        out[free[k]] = not reach[k] >> best & 1
+        best -= sizes[free[k]] * out[free[k]]
+    return out
+
+
 def _lookup(spark, rows: list[tuple], schema: str) -> DataFrame:
     """A frame of a row a source; there are no more sources than rows of the targets."""
     return spark.createDataFrame(rows, schema)

@@ -10,8 +10,8 @@ are intersected; a pair is looked at under its first common token only.
 
 Probing is a map over the training side: nothing of it is shuffled or grouped,
 so a hot query costs its share of rows and no more. The index is broadcast in
-blocks of at most ``block_rows`` evaluation records of at most ``block_chars``
-characters in sum, however large that side is.
+blocks of about ``block_chars`` characters, so its size is bounded however large
+that side is; tokens are counted in one pass for all blocks, probing takes a pass a block.
 """
 
 from __future__ import annotations
@@ -28,7 +28,10 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import cleaned, shingle_codes
 from marlstone.runtime import plain, spread, staged
 
-BLOCK_ROWS = 20_000
+#: Tokens a task counts at a time.
+HELD = 1_000_000
+#: Characters of the evaluation records of a block; the index of one takes about 100 MB.
+BLOCK_CHARS = 1_000_000
 
 
 def _codes(text: str, n: int) -> list[int]:
@@ -79,6 +82,29 @@ class PrefixIndex:
         return out
 
 
+def _token_counts(train: DataFrame, n: int, min_chars: int, known: set[int] | None = None) -> DataFrame:
+    """token, n: how many training records hold each token, of the known ones if given; they are counted before the shuffle."""
+    asked = train.sparkSession.sparkContext.broadcast(known)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, wanted = Counter(), asked.value
+        for b in batches:
+            for raw, times in b["text"].value_counts().items():
+                x = cleaned(raw)
+                if len(x) >= min_chars:
+                    for t in _codes(x, n):
+                        if wanted is None or t in wanted:
+                            held[t] += times
+            if len(held) > HELD:
+                yield pd.DataFrame({"token": list(held.keys()), "n": list(held.values())})
+                held.clear()
+        if held:
+            yield pd.DataFrame({"token": list(held.keys()), "n": list(held.values())})
+
+    counts = train.mapInPandas(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return counts if known is not None else staged(counts, "tokens")
+
+
 def cross_split_overlaps(
     evaluation: DataFrame,
     training: DataFrame,
@@ -88,7 +114,7 @@ def cross_split_overlaps(
     n: int = 2,
     threshold: float = 0.6,
     min_chars: int = 4,
-    block_rows: int = BLOCK_ROWS,
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """Columns eval_id, train_id, similarity: every pair of an evaluation and a training row
     whose cleaned texts have ``min_chars`` or more characters and whose sets of ``n``-character
@@ -111,29 +137,21 @@ def cross_split_overlaps(
 
     side = evaluation.select(F.col(eval_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     indexed = staged(side.mapInPandas(tidy, f"id {kinds['e']}, text string"), "evaluation")
-    rows = indexed.count()
-    blocks = max(1, math.ceil(rows / block_rows))
+    chars = indexed.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(chars / block_chars))
     train = spread(training).select(F.col(train_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    everywhere = _token_counts(train, n, min_chars) if blocks > 1 else None
     out = None
     for k in range(blocks):
         part = indexed if blocks == 1 else indexed.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
         records = [(r["id"], r["text"]) for r in part.toLocalIterator()]
-        vocabulary = spark.sparkContext.broadcast({t for _, x in records for t in _codes(x, n)})
-
-        def counted(batches: Iterator[pd.DataFrame], vocabulary=vocabulary) -> Iterator[pd.DataFrame]:
-            held, known = Counter(), vocabulary.value
-            for b in batches:
-                for raw, times in b["text"].value_counts().items():
-                    x = cleaned(raw)
-                    if len(x) >= min_chars:
-                        for t in _codes(x, n):
-                            if t in known:
-                                held[t] += times
-            if held:
-                yield pd.DataFrame({"token": list(held.keys()), "n": list(held.values())})
-
-        frequency = {t: 0 for t in vocabulary.value}
-        counts = train.mapInPandas(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        known = {t for _, x in records for t in _codes(x, n)}
+        frequency = dict.fromkeys(known, 0)
+        if everywhere is None:
+            counts = _token_counts(train, n, min_chars, known)
+        else:
+            asked = spark.createDataFrame(pd.DataFrame({"token": np.fromiter(known, dtype=np.int64, count=len(known))}), "token long")
+            counts = everywhere.join(F.broadcast(asked), "token", "left_semi")
         frequency.update((r["token"], r["n"]) for r in counts.toLocalIterator())
         index = spark.sparkContext.broadcast(PrefixIndex(records, frequency, n, threshold))
 

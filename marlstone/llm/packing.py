@@ -2,8 +2,8 @@
 
 First-fit decreasing: items by size, largest first, each into the lowest-numbered
 container with room, found by a tournament tree over the rooms left. Groups of
-about ``group_items`` items, drawn by a hash of the item, are packed each on its
-own, so a task never holds more than its group however the data are skewed, and
+about ``group_items`` items, drawn by a hash of the item and of its number among
+equal items, are packed each on its own, so a task never holds more than its group however the data are skewed, and
 one last container a group is all that grouping can waste.
 """
 
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from marlstone.runtime import plain, staged
 
 GROUP_ITEMS = 8_000
+#: Copies of an item that are written out at a time.
+CHUNK = 100_000
 #: Kinds of containers at most; they are collected.
 CONTAINER_KINDS = 1_000
 
@@ -78,8 +80,12 @@ def pack(items: DataFrame, containers: DataFrame, item_id: str, size: str, name:
     if len(kinds_of) > CONTAINER_KINDS:
         raise ValueError(f"more than {CONTAINER_KINDS} kinds of containers")
     capacities = [(r["pack"], r["capacity"]) for r in kinds_of]
-    # equal items hash alike, so their place in the table is hashed too: no group can outgrow its share
-    drawn = sized.withColumn("group", F.pmod(F.xxhash64("item", "size", F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)).cast("int"))
+    # equal items are counted and numbered, so they are spread, and alike however the input is split
+    copies = sized.groupBy("item", "size").agg(F.count("*").alias("n"))
+    chunks = copies.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
+    each = F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("n")) - 1)
+    numbered = chunks.select("item", "size", F.explode(each).alias("number"))
+    drawn = numbered.select("item", "size", F.pmod(F.xxhash64("item", "size", "number", F.lit(seed)), F.lit(groups)).cast("int").alias("group"))
 
     def one(group: pd.DataFrame, pack: object, cap: int) -> pd.DataFrame:
         sizes = group["size"].to_numpy()

@@ -15,7 +15,7 @@ from marlstone.llm.packing import pack
 from marlstone.llm.residue import find_residue
 from marlstone.llm.tokens import token_count
 from marlstone.operators.datasets import connected
-from marlstone.runtime import spread
+from marlstone.runtime import join_lookup, spread
 from marlstone.tables import table
 
 CAP = 12
@@ -36,7 +36,7 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps per benchmark split and training source: pairs, and rows of either side."""
     splits = table(spark, d, "stage3_semiconductor_benchmark").select("query_id", F.col("split").alias("benchmark_split"))
     sources = table(spark, d, "v4_2_train_pairs_a").select("pairid", F.col("source").alias("training_source"))
-    found = _overlaps(spark, d).join(F.broadcast(splits), "query_id").join(sources, "pairid")
+    found = join_lookup(_overlaps(spark, d).drop("similarity"), splits, ["query_id"]).join(sources, "pairid")
     return found.groupBy("benchmark_split", "training_source").agg(
         F.count("*").alias("pairs"), F.countDistinct("query_id").alias("benchmark_rows"), F.countDistinct("pairid").alias("training_rows")
     )

@@ -39,7 +39,7 @@ def test_cleaned_and_codes():
 # problem 1
 
 
-@pytest.mark.parametrize("block", [20_000, 7])
+@pytest.mark.parametrize("block", [1_000_000, 90])
 def test_overlaps_against_brute_force(spark, block):
     rng = random.Random(1)
     base = sentences(rng, 40, 4)
@@ -48,7 +48,7 @@ def test_overlaps_against_brute_force(spark, block):
     want = {(q, p) for q, a in ev for p, b in tr if a and b and len(cleaned(a)) >= 4 and len(cleaned(b)) >= 4 and jaccard(cleaned(a), cleaned(b), 2) >= 0.6}
     evaluation = spark.createDataFrame([(q, t, 1) for q, t in ev], "query_id string, query string, pairid int")
     training = spark.createDataFrame([(p, t, "x") for p, t in tr], "pairid long, query string, query_id string")
-    got = overlap.cross_split_overlaps(evaluation, training, "query_id", "pairid", block_rows=block).collect()
+    got = overlap.cross_split_overlaps(evaluation, training, "query_id", "pairid", block_chars=block).collect()
     assert {(r["query_id"], r["pairid"]) for r in got} == want and len(got) == len(want)
 
 
@@ -306,6 +306,9 @@ def test_packs_hold_everything_once(spark):
         assert part.groupby(["group", "container"])["tokens"].sum().max() <= cap
         split = part[part["part"] > 0]["item"].unique()
         assert all(dict(items)[i] > cap for i in split)
+    again = packing.pack(df.repartition(5, "tokens"), kinds, "doc_id", "tokens", "packname", "capacitytokens", group_items=80).toPandas()
+    key = lambda x: sorted(x.fillna(-1).itertuples(index=False, name=None))
+    assert key(got) == key(again)
     assert packing.pack(df.limit(0), kinds, "doc_id", "tokens", "packname", "capacitytokens").count() == 0
 
 
@@ -333,6 +336,28 @@ def test_mix_reaches_its_shares(spark, rank_rows):
     assert {r["repeats"] for r in picked if r["source"] == "b"} == {3}
 
 
+def test_a_few_long_records_reach_their_budget():
+    rng = random.Random(25)
+    sizes = [rng.randint(700, 1300) for _ in range(36)]
+    room, drawn = 8_678, []
+    for s in sizes:
+        drawn.append(s <= room)
+        room -= s if s <= room else 0
+    better = mixing.closed(sizes, drawn, room)
+    used = sum(s for s, d in zip(sizes, better, strict=True) if d)
+    assert 8_678 - 5 <= used <= 8_678
+    assert mixing.closed([5, 5], [True, True], 3) == [True, True] and mixing.closed([5, 9], [True, False], 4) == [False, True]
+
+
+def test_targets_are_never_dropped(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 2)
+    rows = spark.createDataFrame([(1, "a", 5, 1.0)], "doc long, source string, tokens int, weight double")
+    for names in (["a", "b", "c"], ["a", "a"]):
+        targets = spark.createDataFrame([(s, 0.3, 1) for s in names], "source string, targetshare double, maxrepeats int")
+        with pytest.raises(ValueError):
+            mixing.mix(rows, targets, "doc", "source", "tokens", "weight")
+
+
 def test_weights_are_heeded(spark):
     rows = spark.createDataFrame([(i, "a", 1, 10.0 if i % 2 else 1.0) for i in range(4000)], "doc long, source string, tokens int, weight double")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, targetshare double, maxrepeats int")
