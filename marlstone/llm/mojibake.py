@@ -44,7 +44,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.runtime import spread, staged
+from marlstone.llm.repeats import once_each
+from marlstone.runtime import spread
 
 #: Encodings by Python's names.
 SINGLE = ("cp1252", "latin_1", "cp437", "cp850", "cp866", "mac_roman", "koi8_r", "cp1251", "cp1250", "iso8859_2", "iso8859_5", "iso8859_15")
@@ -60,8 +61,6 @@ HANGUL_USUAL = (
     "이다는의에가한을를은로기사지고하인대그자도리정스시있나어보일전주아제상수국원해서부조공성장비관어연구동과과여만라드되경용면미생들위신선중치안세소식실발양업산무재계내"
     "게회금학요데트물화건법적강월년호민남북진방모분역단통체개교명문현당심석설습력바오마으삼품술류번우거본"
 )
-#: A text is counted once if it has more copies than that, and more than this part of all rows.
-COPIES, OFTEN = 20, 100_000
 #: Places of signs whose judgement is kept; beyond, they are judged afresh.
 TOLD = 500_000
 #: Most distinct characters kept of the corpus: all of Unicode.
@@ -646,18 +645,9 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def detector(rows: DataFrame, text: str) -> Detector:
-    """Counts over the whole corpus: a row a code point and a row a neighbour of a watched sign.
-
-    A text that makes up more than a share of 1 / ``OFTEN`` of the rows, and more than ``COPIES``, counts once, so no text makes its own
-    characters usual by being repeated. There are fewer than ``OFTEN`` such texts; only they are shuffled, and told by 64 bits.
-    """
+    """Counts over the whole corpus, often repeated texts once, so none makes its own characters usual: a row a code point and a row a neighbour of a watched sign."""
     own = rows.select(F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.col("text") != ""))
-    hashed = own.withColumn("_h", F.xxhash64("text"))
-    copies = staged(hashed.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") > COPIES), "copies")
-    least = own.count() / OFTEN if copies.limit(1).count() else 0
-    often = F.broadcast(copies.where(F.col("_n") > least).select("_h"))
-    once = hashed.join(often, "_h", "left_anti").select("text").unionByName(hashed.join(often, "_h", "left_semi").select("text").distinct())
-    counted = once.mapInPandas(_counts, "ch string, side string, kind string, n long").groupBy("ch", "side", "kind").agg(F.sum("n").alias("n"))
+    counted = once_each(own, "text").mapInPandas(_counts, "ch string, side string, kind string, n long").groupBy("ch", "side", "kind").agg(F.sum("n").alias("n"))
     chars, sides, texts = {}, {}, 0
     for r in counted.toLocalIterator():
         if r["kind"] == "c":

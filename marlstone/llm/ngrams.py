@@ -1,4 +1,4 @@
-"""Character n-gram models that share one table, scored over whole texts at once."""
+"""Character n-gram models that share one table, scored over many texts at once."""
 
 from __future__ import annotations
 
@@ -7,18 +7,27 @@ import re
 import numpy as np
 
 ORDER = 4
-TABLE_BITS = 21
+TABLE_BITS = 20
 #: Probability of a character no model has seen.
 FLOOR = 1.0 / 20_000
 _CODE = re.compile(r"[A-Z]{1,6}(?=-?[0-9])")
+#: Names between template signs: each character of them is one of two classes, so models know any name by the signs around it.
+_NAMED = re.compile(r"(?<=\{)-?\s?([A-Za-z_][\w .:-]{0,40}|[一-鿿]{1,12})(?=\s?-?\})|(?<=<)[一-鿿]{1,12}(?=>)|(?<=%\()\w{1,40}(?=\)[sd])|(?<=<%)[=\s]{0,2}\w[\w .]{0,40}(?=\s?%>)|(?<=\{%)\s?\w[\w .]{0,40}(?=\s?%\})|(?<=\[\[)\s?\w[\w .]{0,40}(?=\s?\]\])|(?<=__)[A-Za-z]\w{0,40}?(?=__)|(?<=@@)\w{1,40}(?=@@)|(?<=%)[A-Za-z_]{2,40}(?=%)|(?<=\$)[A-Za-z_一-鿿]{2,20}(?=\$)")
+_LATIN, _HAN = "\ue000", "\ue001"
+_LETTERS = re.compile(r"[A-Za-z0-9_.:-]")
 _START = np.uint64(2)
-#: What of each count of natural prose goes to the shorter n-grams.
-DISCOUNT = 1.0
+#: Power of a context's count that its kinds of continuations are taken to be.
+KINDS = 0.7
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _class_of_name(m: re.Match) -> str:
+    return re.sub("[一-鿿]", _HAN, _LETTERS.sub(_LATIN, m.group()))
+
+
 def points(text: str) -> np.ndarray:
-    """Code points; digits are one character, and so are all kinds of white space and the letters of codes like AB-12."""
+    """Code points; digits are one character, and so are all kinds of white space, the letters of codes like AB-12 and names between template signs."""
+    text = _NAMED.sub(_class_of_name, text)
     text = _CODE.sub(lambda m: "A" * len(m.group()), text)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     codes = np.where((codes >= 48) & (codes <= 57), np.uint64(48), codes)
@@ -42,33 +51,6 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return own, *(np.bincount(at, weights=v, minlength=len(own)) for v in values)
 
 
-class Counts:
-    """The n-grams of one model: by order, hashes, counts, and what follows each as a context."""
-
-    def __init__(self, texts: list[str]) -> None:
-        gathered: list[list[tuple]] = [[] for _ in range(ORDER)]
-        start = hashes(np.array([_START], dtype=np.uint64))
-        for text in texts:
-            codes = points(text)
-            if not len(codes):
-                continue
-            grams = hashes(codes)
-            for k, h in enumerate(grams):
-                own, first, n = np.unique(h, return_index=True, return_counts=True)
-                # the context is the gram one shorter that ends one character before
-                before = np.concatenate([start[k - 1], grams[k - 1][:-1]])[first] if k else np.zeros(len(own), dtype=np.uint64)
-                gathered[k].append((own, n, before))
-        self.grams, self.after = [], []
-        for k in range(ORDER):
-            keys, n, before = (np.concatenate([g[i] for g in gathered[k]]) if gathered[k] else np.zeros(0, dtype=np.uint64) for i in range(3))
-            own, first = np.unique(keys, return_index=True)
-            _, total = _sums(keys, n)
-            if k:
-                self.after.append(_sums(before[first], total))
-            self.grams.append((own, total))
-        self.total = float(self.grams[0][1].sum()) if len(self.grams[0][1]) else 0.0
-
-
 class Batch:
     """The code points of several texts in one array, each after ORDER - 1 marks, and their n-grams."""
 
@@ -86,71 +68,31 @@ class Batch:
         self.grams = hashes(self.codes)
 
 
-class Prose:
-    """The natural model: counts of n-grams in a table of fixed size, so parts of a corpus can be counted apart and added.
-
-    N-grams of the labelled models have a place each, as evidence hangs on them; others share places by hash.
-    """
-
-    def __init__(self, bank: Bank) -> None:
-        sizes = [(1 << TABLE_BITS) + len(keys) for keys in bank.keys]
-        self.n = [np.zeros(size, dtype=np.int64) for size in sizes]
-        #: Place of the context of an n-gram; the greatest where several n-grams meet.
-        self.context = [np.zeros(size, dtype=np.int32) for size in sizes]
-
-    def __getstate__(self) -> dict:
-        """Without the places that hold nothing, which are most."""
-        thin = lambda x: (len(x), np.flatnonzero(x).astype(np.int32), x[x != 0])
-        return {k: [thin(x) for x in v] if isinstance(v, list) else v for k, v in self.__dict__.items()}
-
-    def __setstate__(self, state: dict) -> None:
-        for name, v in state.items():
-            if isinstance(v, list):
-                full = [np.zeros(size, dtype=value.dtype) for size, _, value in v]
-                for x, (_, at, value) in zip(full, v, strict=True):
-                    x[at] = value
-                v = full
-            setattr(self, name, v)
-
-    @staticmethod
-    def places(bank: Bank, k: int, h: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
-        rows = bank.find(k, h) if rows is None else rows
-        return np.where(rows < len(bank.keys[k]), rows + (1 << TABLE_BITS), (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
+class Counts:
+    """The n-grams of one model: by order, hashes, counts, and what follows each as a context."""
 
-    def add(self, bank: Bank, batch: Batch, left_out: np.ndarray) -> None:
-        at = np.flatnonzero(batch.inside & ~left_out)
-        before = None
-        for k in range(ORDER):
-            place = self.places(bank, k, batch.grams[k])
-            self.n[k] += np.bincount(place[at], minlength=len(self.n[k]))
+    def __init__(self, texts: list[str]) -> None:
+        batch = Batch(texts)
+        at = np.flatnonzero(batch.inside)
+        self.grams, self.after = [], []
+        for k, h in enumerate(batch.grams):
+            own, first, n = np.unique(h[at], return_index=True, return_counts=True)
             if k:
-                np.maximum.at(self.context[k], place[at], before[at - 1].astype(np.int32))
-            before = place
-
-    def fit(self) -> Prose:
-        """Each count gives ``DISCOUNT`` to the shorter n-grams, as what was seen seldom tells little."""
-        self.held, self.after, self.lost = [self.n[0].astype(np.float32)], [], []
-        self.total = np.float32(self.n[0].sum())
-        for k in range(1, ORDER):
-            seen = np.flatnonzero(self.n[k])
-            n = self.n[k][seen]
-            held = np.maximum(n - DISCOUNT, 0)
-            full = np.zeros(len(self.n[k]), dtype=np.float32)
-            full[seen] = held
-            self.held.append(full)
-            for out, weights in ((self.after, n), (self.lost, n - held)):
-                out.append(np.bincount(self.context[k][seen], weights=weights, minlength=len(self.n[k - 1])).astype(np.float32))
-        del self.n, self.context
-        return self
+                # the context is the gram one shorter that ends one character before
+                self.after.append(_sums(batch.grams[k - 1][at[first] - 1], n))
+            self.grams.append((own, n))
+        self.total = float(len(at))
 
 
 class Bank:
-    """Several models over the union of their n-grams, after natural prose if there is any. What a
-    context gives to unseen continuations goes to the shorter n-gram."""
+    """Several models over the union of their n-grams. What a context gives to unseen continuations goes to the shorter n-gram.
+
+    Natural prose is one more model: how often the corpus has each n-gram of the bank, and no others. The n-gram before a known
+    one's last character is known too, so that is all its probability takes.
+    """
 
-    def __init__(self, models: list[Counts], pull: float = 0.5, prose: Prose | None = None) -> None:
+    def __init__(self, models: list[Counts], pull: float = 0.5) -> None:
         self.pull = np.float32(pull)
-        self.prose = prose
         self.total = np.array([m.total for m in models], dtype=np.float32)
         self.keys, self.count, self.after = [], [], []
         for k in range(ORDER):
@@ -159,6 +101,16 @@ class Bank:
             self.count.append(self._rows(keys, [m.grams[k] for m in models]))
             if k < ORDER - 1:
                 self.after.append(self._rows(keys, [m.after[k] for m in models]))
+        self.natural = [np.zeros(len(keys) + 1, dtype=np.float32) for keys in self.keys]
+        self.size = np.float32(1)
+
+    def sizes(self) -> list[int]:
+        return [len(keys) for keys in self.keys]
+
+    def learn(self, natural: list[np.ndarray], size: float) -> None:
+        """``natural``: for each order the corpus's counts of the keys; ``size``: its characters."""
+        self.natural = [np.append(n, 0).astype(np.float32) for n in natural]
+        self.size = np.float32(max(size, 1))
 
     @staticmethod
     def _rows(keys: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -199,27 +151,30 @@ class Bank:
             row[wrong] = np.where(keys[np.minimum(other, n - 1)] == h[wrong], other, n)
         return row
 
-    def log_prob(self, codes: np.ndarray) -> np.ndarray:
-        """(positions, models): log-probability of each character given those before it."""
-        grams = hashes(codes)
-        rows = self.find(0, grams[0])
-        pull, prose = self.pull, self.prose
-        p = (self.count[0][rows] + np.float32(FLOOR) * pull) / (self.total + pull) + np.float32(FLOOR * 0.05)
-        if prose is not None:
-            place = prose.places(self, 0, grams[0], rows)
-            q = (prose.held[0][place] + np.float32(FLOOR) * pull) / (prose.total + pull) + np.float32(FLOOR * 0.05)
-        start = hashes(np.array([_START], dtype=np.uint64))
+    def rows_of(self, grams: list[np.ndarray]) -> list[np.ndarray]:
+        """Rows of the n-grams of all positions, by order; longer ones are looked for only where shorter ones are known."""
+        out, at = [], np.arange(len(grams[0]))
+        for k in range(ORDER):
+            found = np.full(len(grams[k]), len(self.keys[k]), dtype=np.int32)
+            found[at] = self.find(k, grams[k][at])
+            at = at[found[at] < len(self.keys[k])]
+            out.append(found)
+        return out
+
+    def log_prob(self, rows: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        """(positions, natural prose and models): log-probability of the characters at ``at``, none of them the first, given those before."""
+        pull, r = self.pull, rows[0][at]
+        p = (self.count[0][r] + np.float32(FLOOR) * pull) / (self.total + pull) + np.float32(FLOOR * 0.05)
+        q = (self.natural[0][r] + np.float32(FLOOR) * pull) / (self.size + pull) + np.float32(FLOOR * 0.05)
         for k in range(1, ORDER):
-            before = np.concatenate([self.find(k - 1, start[k - 1]), rows[:-1]])
-            rows = self.find(k, grams[k])
+            r, before = rows[k][at], rows[k - 1][at - 1]
             p *= pull
-            p += self.count[k][rows]
+            p += self.count[k][r]
             p /= self.after[k - 1][before] + pull
-            if prose is not None:
-                left = np.concatenate([prose.places(self, k - 1, start[k - 1]), place[:-1]])
-                place = prose.places(self, k, grams[k], rows)
-                q = (q * (prose.lost[k - 1][left] + pull) + prose.held[k][place]) / (prose.after[k - 1][left] + pull)
-        return np.log(np.minimum(p if prose is None else np.column_stack([q, p]), np.float32(1.0)))
+            # kinds of continuations grow more slowly than their number; each gives one of its count to the shorter n-grams
+            many = self.natural[k - 1][before]
+            q = (q * (np.minimum(many, many ** np.float32(KINDS)) + pull) + np.maximum(self.natural[k][r] - 1, 0)) / (many + pull)
+        return np.log(np.minimum(np.column_stack([q, p]), np.float32(1.0)))
 
 
 def best_windows(gain: np.ndarray, least: float) -> list[tuple[int, int, float]]:

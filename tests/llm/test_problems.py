@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import all_codes, cleaned, shingle_codes
 from marlstone.llm import bitslice, caps, mixing, mojibake, near_duplicates, overlap, packing, residue, tokens
-from marlstone.llm.ngrams import Bank, Counts, best_windows, points
+from marlstone.llm.ngrams import Bank, Batch, Counts, best_windows
 
 
 def jaccard(a, b, n):
@@ -417,6 +417,7 @@ def test_find_residue_rows(spark):
 
 def test_models_and_windows():
     bank = Bank([Counts(["abcabcabc"] * 5), Counts(["xyzxyz"])])
-    p = bank.log_prob(points("abcxyz"))
-    assert p.shape == (6, 2) and p[1, 0] > p[1, 1] and p[5, 1] > p[5, 0] and (p <= 0).all()
+    batch = Batch(["abcxyz"])
+    p = bank.log_prob(bank.rows_of(batch.grams), np.flatnonzero(batch.inside))
+    assert p.shape == (6, 3) and p[1, 1] > p[1, 2] and p[5, 2] > p[5, 1] and (p <= 0).all()
     assert best_windows(np.array([-1, 3, 3, -9, 5, 2, -1.0]), 5) == [(1, 3, 6.0), (4, 6, 7.0)] and best_windows(np.array([]), 1) == []
