@@ -8,8 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NOT_HAN = r"[^\x{3400}-\x{9fff}]+"
-#: Patterns that hide addresses, numbers and keys, in the order they are applied, with their marks.
+#: Patterns that hide addresses, numbers and keys, in the order they are applied, with their marks.
 MASKS = (
+    (r"(?i)([?&][a-z_]*(?:key|token|secret|password|signature|sig)=)[^&#\s]+", "$1[key]"),
+    (r"(?i)\b([a-z_]*(?:key|token|secret|password|passwd|pwd))\s*[=:]\s*[^\s,;&\[]+", "$1=[key]"),
     (r"(?i)bearer\s+[a-z0-9._\-]+", "[token]"),
     (r"(?i)\b(?:sk|pk|key)-[a-z0-9]{8,}", "[key]"),
     (r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "[email]"),
@@ -17,6 +19,7 @@ MASKS = (
     (r"(?<![0-9])[0-9]{17}[0-9Xx](?![0-9])", "[id]"),
     (r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "[ip]"),
     (r"(?i)/(?:home|users)/[^/\s]+", "/[home]"),
+    (r"(?i)[a-z]:\\users\\[^\\\s]+", "[home]"),
 )
 
 
@@ -61,16 +64,16 @@ def han_ratio(text: Column) -> Column:
     return F.length(F.regexp_replace(text, NOT_HAN, "")) / F.nullif(F.length(text), F.lit(0))
 
 
-def snap_window(text: Column, at: Column, width: Column, around: int = 60, reach: int = 40) -> Column:
-    """The text from ``around`` characters before ``at`` (1-based) to as many after, each end moved out to the
+def snap_window(text: Column, at: Column, width: Column, before: int = 60, after: int = 100, reach: int = 40) -> Column:
+    """The text from ``before`` characters before ``at`` (1-based) to ``after`` behind its end, each end moved out to the
     nearest sentence end within ``reach`` more characters, or left where it is."""
-    left = F.greatest(F.lit(1), at - around)
-    right = F.least(F.length(text), at + width - 1 + around)
+    left = F.greatest(F.lit(1), at - before)
+    right = F.least(F.length(text), at + width - 1 + after)
     ahead = F.substring(text, F.greatest(F.lit(1), left - reach), left - F.greatest(F.lit(1), left - reach))
     tail = F.length(F.regexp_extract(ahead, r"([^。！？；]*)$", 1))
     begins = F.when(F.length(ahead) > tail, left - tail).when(left - reach <= 1, F.lit(1)).otherwise(left)
-    after = F.substring(text, right + 1, F.lit(reach))
-    stop = F.length(F.regexp_extract(after, r"^([^。！？；]*[。！？；])", 1))
+    behind = F.substring(text, right + 1, F.lit(reach))
+    stop = F.length(F.regexp_extract(behind, r"^([^。！？；]*[。！？；])", 1))
     ends = F.when(stop > 0, right + stop).when(right + reach >= F.length(text), F.length(text)).otherwise(right)
     return F.substring(text, begins, ends - begins + 1)
 
@@ -136,13 +139,18 @@ def nearest_rank(sorted_values: Column, share: float, variant: str) -> Column:
     halves to even; floor: [min(n - 1, floor(p n))].
     """
     n = F.size(sorted_values)
+    return F.when(n > 0, F.get(sorted_values, rank_position(n, share, variant).cast("int")))
+
+
+def rank_position(n: Column, share: float, variant: str) -> Column:
+    """Where in ``n`` sorted values, from 0, ``nearest_rank`` finds its element."""
     at = {
         "round_up": F.floor(n * F.lit(share) + 0.5) - 1,
         "ceil": F.ceil(n * F.lit(share)) - 1,
         "round_span": F.bround((n - 1) * F.lit(share)),
         "floor": F.floor(n * F.lit(share)),
     }[variant]
-    return F.when(n > 0, F.get(sorted_values, F.greatest(F.lit(0), F.least(n - 1, at)).cast("int")))
+    return F.greatest(F.lit(0), F.least(n - 1, at))
 
 
 def rate(part: Column, whole: Column, digits: int = 3) -> Column:

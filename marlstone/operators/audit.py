@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.functions.columns import rate
+from marlstone.runtime import join_lookup
 
 
 def classified(rows: DataFrame, rules: list[tuple[str, Column]], other: str = "VALID", name: str = "status") -> DataFrame:
@@ -46,11 +47,11 @@ def broken_bars(bars: DataFrame, entity: str, at: str) -> DataFrame:
 
 def latest_period(rows: DataFrame, entity: str, period: str, order: list[Column] | None = None, most: int | None = None) -> DataFrame:
     """Rows of each entity's latest known period, and of those the first ``most`` by ``order``."""
-    w = Window.partitionBy(entity)
-    last = rows.withColumn("_last", F.max(period).over(w)).where(F.col(period) == F.col("_last")).drop("_last")
+    latest = rows.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.max(period).alias("_last"))
+    last = join_lookup(rows, latest, [entity]).where(F.col(period) == F.col("_last")).select(*rows.columns)
     if most is None:
         return last
-    return last.withColumn("_r", F.row_number().over(w.orderBy(*order))).where(F.col("_r") <= most).drop("_r")
+    return last.withColumn("_r", F.row_number().over(Window.partitionBy(entity).orderBy(*order))).where(F.col("_r") <= most).drop("_r")
 
 
 def merged(rows: DataFrame, keys: list[str], lists: list[str], best: dict[str, str]) -> DataFrame:

@@ -96,9 +96,14 @@ def round_robin(rows: DataFrame, row: str, stratum: str, n: int, salt: str = "pi
 
 
 def first_of_kind(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    """Adds duplicate: whether an earlier row has the same keys; the earliest by a total order is the one kept. Null keys are alike."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("duplicate", F.row_number().over(w) > 1)
+    """Adds duplicate: whether an earlier row has the same keys; the earliest by a total order is the one kept. Null keys are alike.
+
+    Only the first rows' places in the order are joined back, so no key is a task of its own.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    marked = rows.withColumns(dict(zip(names, order, strict=True)))
+    firsts = marked.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(F.struct(*names)).alias("_f")).select(*[F.col("_f")[n].alias(n) for n in names], F.lit(False).alias("duplicate"))
+    return marked.join(firsts, names, "left").drop(*names).withColumn("duplicate", F.coalesce("duplicate", F.lit(True)))
 
 
 def capped_by_level(rows: DataFrame, level: str, preferred: Column, tie: str, cap: int) -> DataFrame:
@@ -107,6 +112,13 @@ def capped_by_level(rows: DataFrame, level: str, preferred: Column, tie: str, ca
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
 
 
+def missing_labels(rows: DataFrame, groups: list[str], label: str, wanted: list[int]) -> DataFrame:
+    """The groups' values and missing: the wanted labels that a group has no row of, where there are any."""
+    has = rows.groupBy(*groups).agg(F.collect_set(F.when(F.col(label).isin(wanted), F.col(label))).alias("_has"))
+    missing = F.array_sort(F.array_except(F.array(*[F.lit(x) for x in wanted]), F.col("_has")))
+    return has.select(*groups, missing.alias("missing")).where(F.size("missing") > 0)
+
+
 def truth_by_priority(sources: list[DataFrame], keys: list[str], label: str) -> DataFrame:
     """keys, label: of several label sets, earlier ones win; within one, the higher label."""
     every = None
@@ -121,6 +133,5 @@ def frozen(rows: DataFrame, reasons: dict[str, Column], keys: list[Column], orde
     rows with another reason don't make later ones duplicates. An empty array means the row is in."""
     why = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in reasons.items()]))
     marked = rows.withColumn("reasons", why).withColumn("_ok", F.size("reasons") == 0)
-    w = Window.partitionBy(*keys, F.col("_ok")).orderBy(*order)
-    ranked = marked.withColumn("_r", F.row_number().over(w))
-    return ranked.withColumn("reasons", F.when(F.col("_ok") & (F.col("_r") > 1), F.array(F.lit("DUPLICATE"))).otherwise(F.col("reasons"))).drop("_ok", "_r")
+    told = first_of_kind(marked, [*keys, F.col("_ok")], order)
+    return told.withColumn("reasons", F.when(F.col("_ok") & F.col("duplicate"), F.array(F.lit("DUPLICATE"))).otherwise(F.col("reasons"))).drop("_ok", "duplicate")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.functions.columns import nearest_rank, null_if_any, rate
+from marlstone.functions.columns import null_if_any, rank_position, rate
+from marlstone.operators.ranks import running_counts
 
 
 def payload_number(payload: Column, path: str) -> Column:
@@ -48,27 +49,39 @@ def percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float],
     """key, n, and one column a share: exact nearest-rank percentiles of the positive finite values.
 
     A key's values are counted per distinct value first; positions are found in
-    the running counts, so a key with many repeats isn't gathered whole.
+    the running counts, which are summed over ranges, so no key is gathered.
     """
     v = F.col(value).cast("double")
     counts = rows.where((v > 0) & (v != float("inf")) & ~F.isnan(v)).groupBy(F.col(key).alias("key"), v.alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy("key")
-    run = counts.withColumn("upto", F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+    run = running_counts(counts, ["key"], "v", "c")
+    found = [F.min(F.when(F.col("upto") > rank_position(F.col("total"), p, variant), F.col("v"))).alias(name) for name, p in shares.items()]
+    return run.groupBy("key").agg(F.max("total").alias("n"), *found)
 
-    def position(p: float) -> Column:
-        n = F.col("n")
-        at = {"round_up": F.floor(n * F.lit(p) + 0.5) - 1, "ceil": F.ceil(n * F.lit(p)) - 1, "floor": F.floor(n * F.lit(p)), "round_span": F.bround((n - 1) * F.lit(p))}[variant]
-        return F.greatest(F.lit(0), F.least(n - 1, at))
 
-    found = [F.min(F.when(F.col("upto") > position(p), F.col("v"))).alias(name) for name, p in shares.items()]
-    return run.groupBy("key").agg(F.max("n").alias("n"), *found)
+def distribution(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, n, p50, p75, p90, p95, p99, max of the positive finite values; a key without any has zeros."""
+    shares = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    found = percentiles(rows, key, value, shares, "round_span")
+    v = F.col(value).cast("double")
+    most = rows.groupBy(F.col(key).alias("key")).agg(F.max(F.when((v > 0) & (v != float("inf")) & ~F.isnan(v), v)).alias("max"))
+    return most.join(found, most["key"].eqNullSafe(found["key"]), "left").select(most["key"], *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", *shares, "max")])
+
+
+def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, n, median (the element at floor(n / 2)) of the positive finite values."""
+    return percentiles(rows, key, value, {"median": 0.5}, "floor")
 
 
 def percentile_variants(rows: DataFrame, value: str, share: float) -> DataFrame:
-    """One row: the same percentile by the four nearest-rank rules and by linear interpolation; for small groups."""
-    values = F.sort_array(F.collect_list(F.col(value).cast("double")))
-    base = rows.where(F.col(value).isNotNull()).agg(values.alias("v"), F.percentile(value, F.lit(share)).alias("linear"))
-    return base.select(*[nearest_rank(F.col("v"), share, k).alias(k) for k in ("round_up", "ceil", "round_span", "floor")], "linear")
+    """One row: the same percentile by four nearest-rank rules and interpolated between neighbours, from running counts of distinct values."""
+    v = F.col(value).cast("double")
+    counts = rows.where(v.isNotNull() & ~F.isnan(v)).groupBy(F.lit(0).alias("key"), v.alias("v")).agg(F.count("*").alias("c"))
+    run = running_counts(counts, ["key"], "v", "c")
+    at = lambda position: F.min(F.when(F.col("upto") > position, F.col("v")))
+    span = (F.col("total") - 1) * F.lit(share)
+    each = {k: at(rank_position(F.col("total"), share, k)) for k in ("round_up", "ceil", "round_span", "floor")}
+    found = run.agg(*[c.alias(k) for k, c in each.items()], at(F.floor(span)).alias("_low"), at(F.ceil(span)).alias("_high"), F.max(span - F.floor(span)).alias("_part"))
+    return found.select(*each, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("linear"))
 
 
 def daily_rollup(events: DataFrame, at: str, kind: str, user: str, value: str, error_kind: str) -> DataFrame:

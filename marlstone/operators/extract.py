@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from marlstone.functions.columns import uncontained
 from marlstone.runtime import plain
@@ -18,7 +17,7 @@ from marlstone.runtime import plain
 # Parts of a page that hold no content, marks that end a sentence, and the longest snaps.
 SILENT = {"script", "style", "noscript", "header", "footer", "nav", "template"}
 ENDS = "。！？；!?"
-AROUND, REACH, SHORTEST = 60, 40, 12
+BEFORE, AFTER, REACH, SHORTEST = 60, 100, 40, 12
 
 
 class _Lines(HTMLParser):
@@ -75,7 +74,7 @@ def page_sentences(pages: DataFrame, entity: str, html: str, must: str, never: s
 
 def snapped(text: str, start: int, end: int) -> tuple[int, int]:
     """A window with each end moved out to the nearest sentence end within reach, or left where it is."""
-    left, right = max(0, start - AROUND), min(len(text), end + AROUND)
+    left, right = max(0, start - BEFORE), min(len(text), end + AFTER)
     before = max((text.rfind(c, max(0, left - REACH), left) for c in ENDS), default=-1)
     left = before + 1 if before >= 0 else 0 if left <= REACH else left
     after = [i for i in (text.find(c, right, right + REACH) for c in ENDS) if i >= 0]
@@ -106,11 +105,11 @@ def trigger_windows(rows: DataFrame, entity: str, text: str, triggers: dict[str,
     return rows.select(entity, text).mapInPandas(scan, f"entity {kind}, category string, at int, window string, reason string")
 
 
-def chosen_windows(windows: DataFrame, most: int = 6, candidates: int = 60) -> DataFrame:
-    """entity, windows: accepted windows in order of position, none within another, at most ``most`` of an entity's first ``candidates``."""
-    w = Window.partitionBy("entity").orderBy("at", "category")
-    first = windows.where(F.col("reason").isNull()).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= candidates)
-    lists = first.groupBy("entity").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "window"))), lambda s: s["window"]).alias("x"))
+def chosen_windows(windows: DataFrame, most: int = 6) -> DataFrame:
+    """entity, windows: accepted windows in order of position, none within another, at most ``most``. Equal windows are merged
+    before an entity's are gathered; all that differ are looked at."""
+    each = windows.where(F.col("reason").isNull()).groupBy("entity", "window").agg(F.min(F.struct("at", "category")).alias("_r"))
+    lists = each.groupBy("entity").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "window"))), lambda s: s["window"]).alias("x"))
     return lists.select("entity", uncontained(F.col("x"), most).alias("windows"))
 
 
@@ -118,8 +117,8 @@ def split_terms(value: str | None, shortest: int = 2, longest: int = 24) -> list
     """Terms of a cell, separated outside brackets; residual buckets like 其他 and terms of other lengths are left out."""
     out, depth, now = [], 0, ""
     for ch in (value or "") + "、":
-        depth += (ch in "（([【") - (ch in "）)]】")
-        if depth <= 0 and ch in "、，,；;/|\n":
+        depth = max(0, depth + (ch in "（([【") - (ch in "）)]】"))
+        if depth == 0 and ch in "、，,；;/|\n":
             term = now.strip()
             if shortest <= len(term) <= longest and not re.fullmatch(r"其[他它].*|合计|小计", term):
                 out.append(term)

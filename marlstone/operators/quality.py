@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.functions.columns import rank_position
+from marlstone.operators.ranks import numbered, running_counts
 from marlstone.runtime import js_round
 
 
@@ -51,23 +53,21 @@ def weighted_label(ranked: DataFrame, labels: DataFrame, weights: dict[str, floa
 def inversions(scored: DataFrame, query: str, label: str, score: str, high: int) -> DataFrame:
     """query, pairs, inverted, rate: pairs of a row labelled ``high`` and one labelled lower, and how many of these the score has the wrong way round.
 
-    Pairs are counted by a window over scores, never made: for each high row the
-    lower-labelled rows that score more are a running count.
+    Pairs are counted, never made: rows are counted by score, and the lower-labelled
+    rows that score more are what a running count lacks of their total.
     """
-    w = Window.partitionBy(query)
-    above = w.orderBy(F.col(score).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy(query, score)
-    low, top = (F.col(label) < high).cast("long"), F.col(label) == high
     rows = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull() & (F.col(label) <= high))
-    each = rows.withColumn("_more", F.sum(low).over(above) - F.sum(low).over(same)).withColumn("_low", F.sum(low).over(w))
-    out = each.groupBy(F.col(query).alias("query")).agg(F.coalesce(F.sum(F.when(top, F.col("_low"))), F.lit(0)).alias("pairs"), F.coalesce(F.sum(F.when(top, F.col("_more"))), F.lit(0)).alias("inverted"))
+    counts = rows.groupBy(F.col(query).alias("query"), F.col(score).alias("_s")).agg(F.count_if(F.col(label) < high).alias("_low"), F.count_if(F.col(label) == high).alias("_high"))
+    run = running_counts(counts, ["query"], "_s", "_low")
+    out = run.groupBy("query").agg(F.sum(F.col("_high") * F.col("total")).alias("pairs"), F.sum(F.col("_high") * (F.col("total") - F.col("upto"))).alias("inverted"))
     return out.withColumn("rate", F.round(F.col("inverted") / F.nullif(F.col("pairs"), F.lit(0)), 6))
 
 
 def rank_correlation(rows: DataFrame, group: str, a: str, b: str, tie: str) -> DataFrame:
     """group, n, rho: Spearman's correlation of ordinal ranks, ties by ``tie``; null for fewer than two rows."""
     known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranks = known.select(F.col(group).alias("group"), *[F.row_number().over(Window.partitionBy(group).orderBy(c, tie)).cast("double").alias(n) for c, n in ((a, "x"), (b, "y"))])
+    plain = known.select(F.col(group).alias("group"), F.col(a).alias("_a"), F.col(b).alias("_b"), F.col(tie).alias("_tie"))
+    ranks = numbered(numbered(plain, ["group"], ["_a", "_tie"], "x"), ["group"], ["_b", "_tie"], "y").select("group", F.col("x").cast("double"), F.col("y").cast("double"))
     return ranks.groupBy("group").agg(F.count("*").alias("n"), F.when(F.count("*") >= 2, F.round(F.corr("x", "y"), 6)).alias("rho"))
 
 
@@ -111,13 +111,12 @@ def wrongly_above(ranked: DataFrame, wrong: str, label: str, relevant: int = 2)
 
 
 def grade_summary(graded: DataFrame, group: str, grade: str, rank: str, shown: int = 20) -> DataFrame:
-    """By group: rows, mean and p90 grade (the element at floor(0.9 n)), shares of at least 1.5 and 2, the mean of the first
-    ``shown``, and how far that lies above the mean."""
+    """By group: rows, mean, median and p90 grade (the elements at floor(n / 2) and floor(0.9 n)), shares of at least 1.5 and 2,
+    the mean of the first ``shown``, and how far that lies above the mean."""
     rows = graded.where(F.col(grade).isNotNull())
     counts = rows.groupBy(F.col(group).alias("group"), F.col(grade).cast("double").alias("g")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy("group")
-    run = counts.withColumn("upto", F.sum("c").over(w.orderBy("g").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
-    high = run.groupBy("group").agg(F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * 0.9)), F.col("g"))).alias("p90"))
+    run = running_counts(counts, ["group"], "g", "c")
+    high = run.groupBy("group").agg(*[F.min(F.when(F.col("upto") > rank_position(F.col("total"), p, "floor"), F.col("g"))).alias(n) for n, p in (("median", 0.5), ("p90", 0.9))])
     sums = rows.groupBy(F.col(group).alias("group")).agg(
         F.count("*").alias("rows"),
         F.round(F.avg(grade), 6).alias("mean"),

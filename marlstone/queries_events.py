@@ -36,7 +36,7 @@ def events_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def events_percentile_variants(spark: SparkSession, d: str) -> DataFrame:
-    return E.percentile_variants(_events(spark, d).where(F.col("event_type") == "signup"), "value", 0.9)
+    return E.percentile_variants(_events(spark, d), "value", 0.9)
 
 
 def events_last_value(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +143,7 @@ SQL = {
     "events_repeats": "SELECT event_id, len(list_filter(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), lambda x: x = event_type)) AS repeats FROM events",
     "events_daily": "WITH p AS (" + _percentile_sql("strftime(ts, '%Y-%m-%d')", "events", {"p50": "0.5", "p95": "0.95"}, _ROUND) + ") SELECT day, events, users, errors, floor(errors / events * 1000 + 0.5) / 1000 AS error_rate, p50, p95, kinds, clicks FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events, count(DISTINCT user_id) AS users, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT event_type) AS kinds, nullif(count(*) FILTER (event_type = 'click'), 0) AS clicks FROM events GROUP BY 1) LEFT JOIN p ON p.key = day",
     "events_percentiles": _percentile_sql("event_type", "events", {"p50": "0.5", "p90": "0.9", "p99": "0.99"}, _CEIL),
-    "events_percentile_variants": "SELECT v[1 + (floor(n * 0.9::DOUBLE + 0.5) - 1)::INT] AS round_up, v[1 + (ceil(n * 0.9::DOUBLE) - 1)::INT] AS ceil, v[1 + round_even((n - 1) * 0.9::DOUBLE, 0)::INT] AS round_span, v[1 + least(n - 1, floor(n * 0.9::DOUBLE))::INT] AS floor, linear FROM (SELECT count(*) AS n, list_sort(list(value)) AS v, quantile_cont(value, 0.9) AS linear FROM events WHERE event_type = 'signup')",
+    "events_percentile_variants": "SELECT v[1 + (floor(n * 0.9::DOUBLE + 0.5) - 1)::INT] AS round_up, v[1 + (ceil(n * 0.9::DOUBLE) - 1)::INT] AS ceil, v[1 + round_even((n - 1) * 0.9::DOUBLE, 0)::INT] AS round_span, v[1 + least(n - 1, floor(n * 0.9::DOUBLE))::INT] AS floor, linear FROM (SELECT count(*) AS n, list_sort(list(value)) AS v, quantile_cont(value, 0.9) AS linear FROM events)",
     "events_last_value": "SELECT user_id AS key, arg_max(event_type, (ts, event_id)) AS value FROM events GROUP BY 1",
     "events_union_without": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE event_type = 'error' OR (event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')) GROUP BY 1",
     "events_cost": "SELECT user_id, count(*) AS calls, sum((props::JSON->>'k')::DOUBLE) AS tokens, CASE WHEN count(*) FILTER (event_id % 997 = 0 OR value IS NULL) = 0 THEN sum(value::DECIMAL(28,9))::DOUBLE END AS cost FROM events GROUP BY 1",

@@ -157,7 +157,7 @@ SELECT query, round(dcg, 6) AS dcg, round(dcg / ideal, 6) AS ndcg, round(hits /
     "quality_inversions": f"WITH {_P}, k AS (SELECT source, label, size, count(*) AS n FROM p WHERE label IS NOT NULL AND size IS NOT NULL GROUP BY ALL) SELECT source, coalesce(sum(a.n * b.n), 0)::BIGINT AS pairs, coalesce(sum(a.n * b.n) FILTER (b.size > a.size), 0)::BIGINT AS inverted, round(inverted / nullif(pairs, 0), 6) AS rate FROM (SELECT DISTINCT source FROM k) LEFT JOIN (SELECT * FROM k WHERE label = 3) a USING (source) LEFT JOIN (SELECT * FROM k WHERE label < 3) b USING (source) GROUP BY source",
     "quality_rank_correlation": f"WITH {_P}, r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY label, pairid)::DOUBLE AS x, row_number() OVER (PARTITION BY source ORDER BY size, pairid)::DOUBLE AS y FROM p WHERE label IS NOT NULL AND size IS NOT NULL) SELECT source, count(*) AS n, round(corr(x, y), 6) AS rho FROM r GROUP BY 1",
     "quality_wrongly_above": f"WITH {_NEAR}, {_TRUTH}, j AS (SELECT r.*, label, min(rank) FILTER (label >= 3) OVER (PARTITION BY r.query) AS f FROM ranked r JOIN truth t ON t.query = r.query AND t.item = r.item WHERE r.item <> r.query) SELECT query, item, rank FROM j WHERE item % 2 = 1 AND (f IS NULL OR rank < f)",
-    "quality_grade_summary": f"WITH {_P}, g AS (SELECT source, count(*) AS rows, list_sort(list(label)) AS v, round(avg(label), 6) AS mean, round(avg((label >= 1.5)::INT), 6) AS from_1_5, round(avg((label >= 2)::INT), 6) AS from_2, round(avg(label) FILTER (pairid <= 500), 6) AS shown_mean FROM p WHERE label IS NOT NULL GROUP BY source) SELECT source, rows, mean, from_1_5, from_2, shown_mean, v[1 + least(rows - 1, floor(rows * 0.9::DOUBLE))::INT]::DOUBLE AS p90, round(shown_mean - mean, 6) AS margin FROM g",
+    "quality_grade_summary": f"WITH {_P}, g AS (SELECT source, count(*) AS rows, list_sort(list(label)) AS v, round(avg(label), 6) AS mean, round(avg((label >= 1.5)::INT), 6) AS from_1_5, round(avg((label >= 2)::INT), 6) AS from_2, round(avg(label) FILTER (pairid <= 500), 6) AS shown_mean FROM p WHERE label IS NOT NULL GROUP BY source) SELECT source, rows, mean, from_1_5, from_2, shown_mean, v[1 + least(rows - 1, floor(rows * 0.5::DOUBLE))::INT]::DOUBLE AS median, v[1 + least(rows - 1, floor(rows * 0.9::DOUBLE))::INT]::DOUBLE AS p90, round(shown_mean - mean, 6) AS margin FROM g",
     "dataset_frozen": "WITH r AS (SELECT pairid, lower(trim(query)) AS q, split, concat_ws(',', CASE WHEN label IS NULL THEN 'NO_LABEL' END, CASE WHEN evidence IS NULL THEN 'NO_EVIDENCE' END, CASE WHEN query IS NULL OR trim(query) = '' THEN 'NO_QUERY' END) AS w FROM v4_2_train_pairs_a) SELECT pairid, CASE WHEN w = '' AND row_number() OVER (PARTITION BY q, split, w = '' ORDER BY pairid) > 1 THEN 'DUPLICATE' ELSE w END AS reasons FROM r",
     "dataset_hash_split": f"SELECT pairid, {_SPLIT.format(k='pairid')} AS assigned FROM v4_2_train_pairs_a",
     "dataset_leaks": f"WITH {_P}, s AS (SELECT *, {_SPLIT.format(k='pairid')} AS assigned FROM p) SELECT 'code' AS dimension, code AS value, count(DISTINCT assigned) AS splits FROM s WHERE code IS NOT NULL GROUP BY code HAVING count(DISTINCT assigned) > 1 UNION ALL SELECT 'query_id', query_id, count(DISTINCT assigned) FROM s WHERE query_id IS NOT NULL GROUP BY query_id HAVING count(DISTINCT assigned) > 1",

@@ -156,7 +156,7 @@ def _windows(spark: SparkSession, d: str) -> DataFrame:
 
 def extract_windows(spark: SparkSession, d: str) -> DataFrame:
     """Accepted windows of each document, at most six."""
-    return extract.chosen_windows(_windows(spark, d)).withColumnRenamed("entity", "doc_id")
+    return extract.chosen_windows(_windows(spark, d)).select(F.col("entity").alias("doc_id"), F.array_join("windows", "|").alias("windows"))
 
 
 def extract_trigger_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -164,9 +164,9 @@ def extract_trigger_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extract_cell_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Terms of the short facts, which are cells of tables."""
-    cells = table(spark, d, "facts").where(F.length("rawtext") <= 24).select("ingestid", "rawtext")
-    return cells.select("ingestid", extract.terms_of(F.col("rawtext")).alias("terms"), extract.cell_term(F.col("rawtext")).alias("cell_term"))
+    """Terms of every fact, read as a cell of a table."""
+    cells = table(spark, d, "facts").select("ingestid", "rawtext")
+    return cells.select("ingestid", F.array_join(extract.terms_of(F.col("rawtext")), "|").alias("terms"), extract.cell_term(F.col("rawtext")).alias("cell_term"))
 
 
 def extract_field_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -213,7 +213,32 @@ fin AS (SELECT query, b.doc, CASE WHEN lang = 'en' THEN 0.0 WHEN source IS NULL
 con AS (SELECT query, doc, round(final, 6) AS final, row_number() OVER (PARTITION BY query ORDER BY floor(final * 100 + 0.5) DESC, coalesce(n_chars, 0) DESC, rank) AS final_rank FROM fin)"""
 _CODE = denoted_sql("companycode")
 
+_FIELDS = ("name", "industry", "board", "marketcap", "swlevel1industry")
+#: One row a character: its bracket depth, floored at 0, is the running sum less its least so far; terms are what stands between separators at depth 0.
+_CELLS = """ch AS (SELECT ingestid, i, substr(t, i::INT, 1) AS c FROM (SELECT ingestid, rawtext || '、' AS t, unnest(range(1, length(rawtext) + 2)) AS i FROM facts WHERE rawtext IS NOT NULL)),
+st AS (SELECT *, sum(CASE WHEN c IN ('（', '(', '[', '【') THEN 1 WHEN c IN ('）', ')', ']', '】') THEN -1 ELSE 0 END) OVER (PARTITION BY ingestid ORDER BY i) AS s FROM ch),
+dp AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY ingestid ORDER BY i)) AS depth FROM st),
+cu AS (SELECT *, (depth = 0 AND c IN ('、', '，', ',', '；', ';', '/', '|', chr(10))) AS cut FROM dp),
+pa AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY ingestid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM cu),
+te AS (SELECT ingestid, part, trim(coalesce(string_agg(c, '' ORDER BY i) FILTER (NOT cut), ''), chr(10) || chr(9) || chr(13) || ' 　') AS term FROM pa GROUP BY ALL),
+ok AS (SELECT ingestid, term, min(part) AS part FROM te WHERE length(term) BETWEEN 2 AND 24 AND NOT regexp_full_match(term, '其[他它].*|合计|小计') GROUP BY ALL)"""
+_CELL_TERM = "CASE WHEN length(t) >= 2 AND NOT regexp_matches(t, '^其[他它]') THEN t END"
+_TAIL = "trim(regexp_extract(b, '([^\\-－—]*)$', 1), ' ')"
+#: The window around the first trigger, step by step as columns.
+_SNAPPED = """w1 AS (SELECT doc_id, text, strpos(text, '产能') AS pos, greatest(1, strpos(text, '产能') - 60) AS l, least(length(text), strpos(text, '产能') + 101) AS r FROM documents WHERE contains(text, '产能')),
+w2 AS (SELECT *, substr(text, greatest(1, l - 40), l - greatest(1, l - 40)) AS ahead, substr(text, r + 1, 40) AS behind FROM w1),
+w3 AS (SELECT *, length(regexp_extract(ahead, '([^。！？；]*)$', 1)) AS tail, length(regexp_extract(behind, '^([^。！？；]*[。！？；])', 1)) AS stop FROM w2),
+w4 AS (SELECT *, CASE WHEN length(ahead) > tail THEN l - tail WHEN l - 40 <= 1 THEN 1 ELSE l END AS b, CASE WHEN stop > 0 THEN r + stop WHEN r + 40 >= length(text) THEN length(text) ELSE r END AS e FROM w3),
+f1 AS (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS flat FROM documents), f2 AS (SELECT *, strpos(flat, '产能') AS p FROM f1 WHERE contains(flat, '产能')),
+f3 AS (SELECT *, greatest(1, p - 16) AS s, least(length(flat), p + 17) AS z FROM f2)"""
+
 SQL = {
+    "extract_cell_terms": f"WITH {_CELLS}, ag AS (SELECT ingestid, string_agg(term, '|' ORDER BY part) AS terms FROM ok GROUP BY ingestid), b AS (SELECT ingestid, rawtext, regexp_replace(trim(rawtext, ' '), '^其中[:：]', '') AS b FROM facts), "
+    f"t AS (SELECT ingestid, rawtext, CASE WHEN {_TAIL} = '' THEN trim(regexp_extract(b, '^([^\\-－—]*)', 1), ' ') ELSE {_TAIL} END AS t FROM b) SELECT t.ingestid, coalesce(terms, '') AS terms, {_CELL_TERM} AS cell_term FROM t LEFT JOIN ag USING (ingestid)",
+    "extract_context": "SELECT doc_id, n, substr(text, greatest(0, pos - 90) + 1, pos - greatest(0, pos - 90) + 2 + 170) AS quote FROM (SELECT doc_id, text, unnest(range(0, least(4, len(spots)))) AS n, unnest(spots[1:4]) AS pos FROM (SELECT doc_id, text, list_transform(list_filter(range(1, length(text)), lambda i: substr(text, i::INT, 2) = '产能'), lambda i: i - 1) AS spots FROM documents WHERE contains(text, '产能')))",
+    "text_windows": f"WITH {_SNAPPED} SELECT w4.doc_id, pos AS \"at\", substr(text, b, e - b + 1) AS \"window\", CASE WHEN s > 1 THEN '…' ELSE '' END || substr(flat, s, z - s + 1) || CASE WHEN z < length(flat) THEN '…' ELSE '' END AS snippet FROM w4 JOIN f3 USING (doc_id)",
+    "corpus_changes": "WITH f AS (SELECT code, " + ", ".join(f"arg_min_null({c}, loadedat) AS {c}" for c in _FIELDS) + " FROM companies GROUP BY code), l AS (SELECT code, " + ", ".join(f"arg_max_null({c}, loadedat) AS {c}" for c in _FIELDS) + " FROM companies WHERE removedat IS NULL GROUP BY code), "
+    + "m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS field FROM f JOIN l USING (code) WHERE f.{c} IS DISTINCT FROM l.{c}" for c in _FIELDS) + " UNION ALL SELECT 'GONE' FROM f ANTI JOIN l USING (code) UNION ALL SELECT 'NEW' FROM l ANTI JOIN f USING (code)) SELECT field, count(*) AS changed FROM m GROUP BY field",
     "text_tokens": f"SELECT k AS query_id, array_to_string(tokens, '|') AS tokens, len(tokens) AS n FROM {_tokens_sql('stage3_semiconductor_benchmark', 'query_id', 'query')}",
     "text_bm25": f"WITH {_INDEX} SELECT query, doc, score, rank FROM bm25",
     "text_idf_overlap": f"WITH {_INDEX} SELECT query, doc, score, rank FROM overlap",

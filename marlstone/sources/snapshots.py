@@ -21,6 +21,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
+        self._rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, p: str):  # noqa: ANN202
@@ -32,9 +33,10 @@ class Store:
         out = self._fs.create(tmp, True)
         out.write(bytearray(json.dumps(value, ensure_ascii=False, sort_keys=True).encode()))
         out.close()
-        self._fs.delete(to, False)
-        if not self._fs.rename(tmp, to):
-            raise OSError(f"can't move {name} into place")
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), self._fs.getConf())
+        modes = self.spark.sparkContext._gateway.new_array(self._rename, 1)
+        modes[0] = self._rename.OVERWRITE
+        files.rename(tmp, to, modes)
 
     def _read(self, name: str) -> dict | None:
         p = self._path(f"{self.root}/{name}")
