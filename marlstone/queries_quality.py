@@ -52,7 +52,8 @@ def quality_run_comparison(spark: SparkSession, d: str) -> DataFrame:
     before = _ranked(spark, d)
     kept = before.where(F.col("item") % 7 != 0)
     after = kept.withColumn("rank", F.col("rank") - F.pmod(F.col("item"), F.lit(2)).cast("int"))
-    return quality.run_comparison(before, after)
+    out = quality.run_comparison(before, after)
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("entered", "left_")})
 
 
 def quality_transitions(spark: SparkSession, d: str) -> DataFrame:
@@ -148,6 +149,15 @@ _P = f"p AS (SELECT pairid, label, split, source, query_id, queryfamily, length(
 _BUCKET = "(('0x' || substr(sha256('split:' || {k}::VARCHAR), 1, 12))::BIGINT % 10)"
 _SPLIT = f"CASE WHEN {_BUCKET} < 1 THEN 'test' WHEN {_BUCKET} < 2 THEN 'validation' ELSE 'train' END"
 SQL = {
+    "quality_run_comparison": f"WITH {_NEAR}, b AS (SELECT * FROM ranked), a AS (SELECT query, item, rank - (item % 2) AS rank, score FROM ranked WHERE item % 7 <> 0), x AS (SELECT query, item, rank FROM b WHERE rank <= 10), y AS (SELECT query, item, rank FROM a WHERE rank <= 10), "
+    "n AS (SELECT query, count(*) AS n, arg_min(item, (rank, item)) AS top FROM x GROUP BY query), m AS (SELECT query, arg_min(item, (rank, item)) AS top FROM y GROUP BY query), "
+    "f AS (SELECT coalesce(x.query, y.query) AS query, x.item AS xi, y.item AS yi FROM x FULL JOIN y USING (query, item)), "
+    "g AS (SELECT query, count(*) FILTER (xi IS NOT NULL AND yi IS NOT NULL) AS shared, coalesce(string_agg(yi::VARCHAR, ',' ORDER BY yi) FILTER (xi IS NULL), '') AS entered, coalesce(string_agg(xi::VARCHAR, ',' ORDER BY xi) FILTER (yi IS NULL), '') AS left_ FROM f GROUP BY query), "
+    "s AS (SELECT query, round(avg(abs(a.rank - b.rank)), 6) AS mean_rank_shift, round(avg(abs(a.score - b.score)), 6) AS mean_score_shift FROM b JOIN a USING (query, item) GROUP BY query) "
+    "SELECT query, round(shared / greatest(1, least(coalesce(n, 0), 10)), 6) AS overlap, entered, left_, n.top IS DISTINCT FROM m.top AS top_changed, mean_rank_shift, mean_score_shift FROM g LEFT JOIN n USING (query) LEFT JOIN m USING (query) LEFT JOIN s USING (query)",
+    "dataset_isolated_splits": f"WITH RECURSIVE f AS (SELECT ingestid, {denoted_sql('companycode')} AS code, artifactsha256 FROM facts), t AS (SELECT ingestid, 'code=' || code AS tag FROM f WHERE code IS NOT NULL UNION ALL SELECT ingestid, 'artifactsha256=' || artifactsha256 FROM f WHERE artifactsha256 IS NOT NULL), "
+    "e AS MATERIALIZED (SELECT DISTINCT a.tag AS x, b.tag AS y FROM t a JOIN t b USING (ingestid)), r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), c AS (SELECT x, min(y) AS component FROM r GROUP BY x), "
+    f"o AS (SELECT f.ingestid, coalesce(min(c.component), '#' || f.ingestid::VARCHAR) AS component FROM f LEFT JOIN t USING (ingestid) LEFT JOIN c ON c.x = t.tag GROUP BY f.ingestid) SELECT ingestid AS row, component, {_SPLIT.format(k='component')} AS split FROM o",
     "quality_metrics": f"""WITH {_NEAR}, {_TRUTH}, s AS (SELECT r.query, sum(coalesce(2.0 ** label - 1, 0) / log2(rank + 1)) AS dcg, count(*) FILTER (label >= 2) AS hits, min(rank) FILTER (label >= 2) AS first_relevant, count(*) FILTER (label = 0) AS bad FROM ranked r LEFT JOIN truth t ON t.query = r.query AND t.item = r.item WHERE rank <= 10 GROUP BY 1),
 i AS (SELECT query, sum((2.0 ** label - 1) / log2(r + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY label DESC, item) AS r FROM truth) WHERE r <= 10 GROUP BY 1), w AS (SELECT query, count(*) FILTER (label >= 2) AS wanted FROM truth GROUP BY 1)
 SELECT query, round(dcg, 6) AS dcg, round(dcg / ideal, 6) AS ndcg, round(hits / 10, 6) AS precision, round(hits / nullif(wanted, 0), 6) AS recall, first_relevant, round(coalesce(1 / first_relevant, 0), 6) AS reciprocal_rank, bad FROM w JOIN i USING (query) JOIN s USING (query)""",
