@@ -163,7 +163,18 @@ _RANKED = (
     f"SELECT pairid, code, family, row_number() OVER (PARTITION BY code, family ORDER BY label DESC NULLS LAST, pairid) AS rn FROM "
     f"(SELECT pairid, label, {denoted_sql('companycode')} AS code, {_FAMILY} AS family FROM v4_2_train_pairs_a WHERE companycode IS NOT NULL AND queryfamily IS NOT NULL)"
 )
+#: Cleaned queries for DuckDB, which has no NFKC: full-width signs are what the queries hold of it.
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_CLEAN = f"regexp_replace(lower(translate(nfc_normalize(query), '{_WIDE}', '{_NARROW}')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_GRAMS = "SELECT id, list_distinct(list_transform(range(1, length(c)), lambda i: substr(c, i::INT, 2))) AS g FROM (SELECT {id} AS id, {clean} AS c FROM {table} WHERE query IS NOT NULL) WHERE length(c) >= 4"
+_OVERLAPS = (
+    f"a AS MATERIALIZED ({_GRAMS.format(id='query_id', clean=_CLEAN, table='stage3_semiconductor_benchmark')}), b AS MATERIALIZED ({_GRAMS.format(id='pairid', clean=_CLEAN, table='v4_2_train_pairs_a')}), "
+    "x AS (SELECT a.id AS query_id, b.id AS pairid, count(*) AS n FROM (SELECT id, unnest(g) AS t FROM a) a JOIN (SELECT id, unnest(g) AS t FROM b) b USING (t) GROUP BY ALL), "
+    "o AS (SELECT query_id, pairid FROM x JOIN a ON a.id = query_id JOIN b ON b.id = pairid WHERE n / (len(a.g) + len(b.g) - n) >= 0.6 - 1e-12)"
+)
 SQL = {
+    "p1_found": f"WITH {_OVERLAPS} SELECT query_id, pairid FROM o",
+    "p1_report": f"WITH {_OVERLAPS} SELECT e.split AS benchmark_split, t.source AS training_source, count(*) AS pairs, count(DISTINCT o.query_id) AS benchmark_rows, count(DISTINCT o.pairid) AS training_rows FROM o JOIN stage3_semiconductor_benchmark e USING (query_id) JOIN v4_2_train_pairs_a t USING (pairid) GROUP BY ALL",
     "p4_found": f"SELECT pairid FROM ({_RANKED}) WHERE rn > {CAP}",
     "p4_report": f"SELECT code, family, count(*) AS rows_before, count(*) FILTER (rn <= {CAP}) AS rows_kept, count(*) FILTER (rn > {CAP}) AS rows_cut FROM ({_RANKED}) GROUP BY code, family HAVING count(*) > {CAP}",
 }
