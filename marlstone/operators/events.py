@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from marlstone.functions.columns import null_if_any, rank_position, rate
 from marlstone.operators.ranks import running_counts
+from marlstone.runtime import join_lookup
 
 
 def payload_number(payload: Column, path: str) -> Column:
@@ -116,6 +117,48 @@ def offenders(shown: DataFrame, item: str, query: str, least: int = 5, most: int
     return shown.groupBy(item).agg(F.countDistinct(query).alias("queries")).where(F.col("queries") >= least).orderBy(F.col("queries").desc(), F.col(item)).limit(most)
 
 
+def correlated(asked: DataFrame, answered: DataFrame, key: str, at: str, event: str, columns: list[str]) -> DataFrame:
+    """``asked`` with the columns of the key's last answer by (time, event), null where there is none; null keys have none."""
+    last = answered.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(at, event)).alias("_a"))
+    return join_lookup(asked, last, [key], "left").withColumns({f"answer_{c}": F.col("_a")[c] for c in columns}).drop("_a")
+
+
+def clicked_ranks(clicks: DataFrame, snapshots: DataFrame, key: str, item: str, shown: str) -> DataFrame:
+    """``clicks`` with rank: where, from 1, the clicked item stands in the key's list of shown items, null where it doesn't."""
+    places = snapshots.select(key, F.posexplode(shown).alias("_p", item)).groupBy(key, item).agg((F.min("_p") + 1).alias("rank"))
+    return clicks.join(places, [key, item], "left")
+
+
+def offenders_by_grade(shown: DataFrame, item: str, query: str, grade: str, rank: str, least: int = 5, below: float = 1.5, within: int = 20) -> DataFrame:
+    """Items shown within the first ranks for at least ``least`` distinct queries at a mean grade below ``below``: queries and mean grade."""
+    rows = shown.where((F.col(rank) <= within) & F.col(grade).isNotNull())
+    out = rows.groupBy(item).agg(F.countDistinct(query).alias("queries"), F.round(F.avg(grade), 6).alias("mean_grade"))
+    return out.where((F.col("queries") >= least) & (F.col("mean_grade") < below))
+
+
+def plainly_irrelevant(shown: DataFrame, item: str, family: str, label: str, rank: str, score: str) -> DataFrame:
+    """By item shown with a label of 0 or 1: how often, mean rank and score, families, and how many of either label."""
+    rows = shown.where(F.col(label) <= 1)
+    return rows.groupBy(item).agg(
+        F.count("*").alias("n"), F.round(F.avg(rank), 6).alias("mean_rank"), F.round(F.avg(score), 6).alias("mean_score"), F.countDistinct(family).alias("families"), F.count_if(F.col(label) == 0).alias("l0"), F.count_if(F.col(label) == 1).alias("l1")
+    )
+
+
+def unclean_runs(events: DataFrame, run: str, kind: str, start: str, ends: list[str], current: str | None = None) -> DataFrame:
+    """Runs that began and neither stopped nor crashed, but for the current one."""
+    began, ended = F.bool_or(F.coalesce(F.col(kind) == start, F.lit(False))), F.bool_or(F.coalesce(F.col(kind).isin(ends), F.lit(False)))
+    rows = events.where(F.col(run).isNotNull() & (F.col(run) != F.lit(current)) if current is not None else F.col(run).isNotNull())
+    return rows.groupBy(run).agg(began.alias("_b"), ended.alias("_e")).where(F.col("_b") & ~F.col("_e")).select(run)
+
+
+def call_statistics(calls: DataFrame, path: str, at: str, event: str, ms: str, failed: Column, last: int = 50) -> DataFrame:
+    """By path: calls, failures, p95 of the durations, and p50 of the last ``last`` calls by (time, event)."""
+    base = calls.groupBy(F.col(path).alias("key")).agg(F.count("*").alias("calls"), F.count_if(failed).alias("failures"))
+    recent = calls.withColumn("_r", F.row_number().over(Window.partitionBy(path).orderBy(F.col(at).desc(), F.col(event).desc()))).where(F.col("_r") <= last)
+    whole, late = percentiles(calls, path, ms, {"p95": 0.95}, "ceil").drop("n"), percentiles(recent, path, ms, {"recent_p50": 0.5}, "ceil").drop("n")
+    return base.join(whole, "key", "left").join(late, "key", "left")
+
+
 def state_changes(events: DataFrame, entity: str, at: str, event: str, healthy: Column) -> DataFrame:
     """entity, event, change: rows at which the state turns, FAILED or RECOVERED; unknown states don't count."""
     w = Window.partitionBy(entity).orderBy(at, event)

@@ -125,3 +125,32 @@ def grade_summary(graded: DataFrame, group: str, grade: str, rank: str, shown: i
         F.round(F.avg(F.when(F.col(rank) <= shown, F.col(grade))), 6).alias("shown_mean"),
     )
     return sums.join(high, "group").withColumn("margin", F.round(F.col("shown_mean") - F.col("mean"), 6))
+
+
+def binary_dcg(ranked: DataFrame, truth: DataFrame, k: int = 10, relevant: int = 2) -> DataFrame:
+    """query, dcg at ``k`` with gain 1 for a label of at least ``relevant``; queries without results are left out."""
+    shown = ranked.where(F.col("rank") <= k).join(truth, ["query", "item"], "left")
+    gain = F.when(F.col("label") >= relevant, 1.0).otherwise(0.0)
+    return shown.groupBy("query").agg(F.round(F.sum(gain / F.log2(F.col("rank") + 1)), 6).alias("dcg"))
+
+
+def cohort_margin(graded: DataFrame, group: str, mine: str, foil: str, grade: str) -> DataFrame:
+    """group, best and mean grade of the rows flagged ``mine`` and of those flagged ``foil``, and how far the means lie apart."""
+    of = lambda f, flag: f(F.when(F.coalesce(F.col(flag), F.lit(False)), F.col(grade)))
+    out = graded.groupBy(group).agg(of(F.max, mine).alias("mine_best"), F.round(of(F.avg, mine), 6).alias("mine_mean"), of(F.max, foil).alias("foil_best"), F.round(of(F.avg, foil), 6).alias("foil_mean"))
+    return out.withColumn("margin", F.round(F.col("mine_mean") - F.col("foil_mean"), 6))
+
+
+def case_summary(ranked: DataFrame, wanted: DataFrame, unwanted: DataFrame, ks: tuple[int, ...] = (1, 5, 10), intrudes: float = 0.6) -> DataFrame:
+    """query, for each k whether a wanted item stands within it, and whether an unwanted one intrudes: within the last k, or anywhere at ``intrudes`` or more."""
+    rows = ranked.join(wanted.select("query", "item", F.lit(True).alias("_w")), ["query", "item"], "left").join(unwanted.select("query", "item", F.lit(True).alias("_u")), ["query", "item"], "left")
+    yes = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
+    hits = [yes(F.col("_w") & (F.col("rank") <= k)).alias(f"hit_{k}") for k in ks]
+    return rows.groupBy("query").agg(*hits, yes(F.col("_u") & ((F.col("rank") <= ks[-1]) | (F.col("score") >= intrudes))).alias("intruded"))
+
+
+def list_sizes(rows: DataFrame, lists: list[str]) -> DataFrame:
+    """list, rows with any member, members, distinct members a row at most, and their mean over rows with any."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("list"), F.col(c).cast("array<string>").alias("x")) for c in lists])).alias("l")
+    sized = rows.select(each).select("l.list", F.size(F.coalesce("l.x", F.array().cast("array<string>"))).alias("n"), F.size(F.array_distinct(F.coalesce("l.x", F.array().cast("array<string>")))).alias("d"))
+    return sized.groupBy("list").agg(F.count_if(F.col("n") > 0).alias("rows"), F.sum("n").alias("members"), F.max("d").alias("most"), F.round(F.avg(F.when(F.col("n") > 0, F.col("d"))), 6).alias("mean"))
