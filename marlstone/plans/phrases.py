@@ -29,6 +29,12 @@ SORTS = {
 REFUSED = {
     "advice": "该买 买入 推荐买 值得买 卖出".split(), "future": "明天 下周 未来 预测".split(), "injection": "忽略以上 忽略之前 ignore previous".split(), "either_or": ["或者", "或"],
 }
+COUNTERS = "家 只 个 名 支 位 强".split()
+FIRST = ("排名前", "前", "top")
+#: What before 前 makes it a time.
+TIMES = ("之", "以", "目", "日", "天")
+DATE_WORDS = "今日 今天 当前 当日 最新交易日".split()
+ASKING = "帮我 请 找出 看看 有哪些 哪些".split()
 WINDOWS = {"5": "return_5", "20": "return_20", "一周": "return_5", "一个月": "return_20"}
 _DIGITS = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"两": 2}
 _WIDE = str.maketrans("０１２３４５６７８９", "0123456789")
@@ -76,13 +82,13 @@ _BEFORE_OF = {w: op for op, ws in BEFORE.items() for w in ws}
 _AFTER_OF = {w: op for op, ws in AFTER.items() for w in ws}
 _CLAUSES = re.compile(
     rf"(?P<versus>(?P<vm>成交额|成交量|收盘价)(?P<vo>高于|超过|大于|低于|小于|少于)(?:前一天|前一日|昨天|昨日|上一交易日))"
-    rf"|(?P<limit>(?P<lm>{_any(tuple(METRICS))})?(?<![之以])前\s*(?P<ln>{_NUM})\s*(?:名|个|只|家)?)"
+    rf"|(?P<limit>(?P<lm>{_any(tuple(METRICS))})?(?P<lw>(?i:{_any(FIRST)}))\s*(?P<ln>{_NUM})\s*(?:{_any(COUNTERS)})?)"
     rf"|(?P<streak>连续\s*(?P<sn>{_NUM})\s*(?:个|天|日)*\s*(?:上涨|走高))"
     rf"|(?P<threshold>(?:(?:最近|近)\s*(?P<tw>{_NUM}|一周|一个月)\s*(?:个?交易日|天|日)?\s*(?:的)?)?(?P<tm>{_any(tuple(METRICS))})\s*(?P<to>{_any(tuple(_BEFORE_OF))})?\s*(?P<tn>-?(?:{_NUM}))\s*(?P<tu>万|亿)?\s*(?:元|%|％|倍|股)?\s*(?P<ta>{_any(tuple(_AFTER_OF))})?)"
     rf"|(?P<most>(?P<mm>{_any(tuple(METRICS))})最(?:大|高|多)|(?P<ms>{_any(tuple(SORTS))}))"
 )
 _JOINTS = re.compile(r"^(?:的|里|中|内|并且|且|而且|，|,|、|\s)+|(?:的公司|的企业|公司|企业|股票|概念|板块|里|中|内|的|类)+$")
-_FILLER = re.compile(r"今天|今日|当日|当前|最新交易日|帮我|请|找出|看看|有哪些|哪些|[，,。？?！!]")
+_FILLER = re.compile(_any([*DATE_WORDS, *ASKING]) + "|[，,。？?！!]")
 
 
 def parse_phrase(text: str) -> Plan:
@@ -96,6 +102,8 @@ def parse_phrase(text: str) -> Plan:
     for m in _CLAUSES.finditer(text):
         if m["threshold"] and not (m["to"] or m["ta"]):
             continue  # a bare number beside a metric is no threshold
+        if m["limit"] and text[: m.start("lw")].endswith(TIMES):
+            continue  # before a time, not the first of an order
         rest.append(text[at : m.start()])
         at = m.end()
         if m["versus"]:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.runtime import staged
+
 OPS = (">=", ">", "<=", "<", "==", "!=")
 DEFAULT_LIMIT, MAX_LIMIT = 20, 100
 
@@ -114,8 +116,10 @@ def at_date(state: DataFrame, date: str | None) -> DataFrame:
     """Rows of the given date, or of the latest in the data; never of today's clock."""
     if date is not None:
         return state.where(F.col("date") == F.lit(date).cast("date"))
-    latest = state.agg(F.max("date").alias("_latest"))
-    return state.join(F.broadcast(latest), F.col("date") == F.col("_latest")).drop("_latest")
+    # each entity's last row, in the partitioning the state has, so the history is passed once
+    last = staged(state.groupBy("entity").agg(F.max_by(F.struct(*state.columns), "date").alias("_s")).select("_s.*"), "last")
+    latest = last.agg(F.max("date").alias("_latest"))
+    return last.join(F.broadcast(latest), F.col("date") == F.col("_latest")).drop("_latest")
 
 
 def run(state: DataFrame, spec: Spec, universe: DataFrame | None = None, comparison: tuple[str, str] | None = None) -> DataFrame:
@@ -126,7 +130,7 @@ def run(state: DataFrame, spec: Spec, universe: DataFrame | None = None, compari
     these drop is not filled. ``universe`` is joined on entity after the cut,
     rows without a match staying.
     """
-    rows = passing(at_date(state, spec.date), spec.filters)
+    rows = staged(passing(at_date(state, spec.date), spec.filters), "rows")
     total = rows.agg(F.count("*").alias("total"))
     order = ordering(spec.sort)
     cut = rows.orderBy(*order).limit(spec.limit)
