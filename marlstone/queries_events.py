@@ -100,6 +100,38 @@ def events_halves(spark: SparkSession, d: str) -> DataFrame:
     return E.percentiles(halves, "half", "value", {"p50": 0.5, "p95": 0.95})
 
 
+def events_correlated(spark: SparkSession, d: str) -> DataFrame:
+    """Views with the user's last purchase."""
+    e = _events(spark, d)
+    out = E.correlated(e.where(F.col("event_type") == "view").select("event_id", "user_id"), e.where(F.col("event_type") == "purchase"), "user_id", "ts", "event_id", ["event_id", "value"])
+    return out.select("event_id", "user_id", "answer_event_id", "answer_value")
+
+
+def events_clicked_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Where a click's item stands in the user's list of seen items, the latest first."""
+    e = _events(spark, d).withColumn("item", F.get_json_object("props", "$.k"))
+    seen = e.where(F.col("event_type") == "view").groupBy("user_id", "item").agg(F.max("event_id").alias("at")).groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("at"), "item"))), lambda s: s["item"]).alias("shown"))
+    return E.clicked_ranks(e.where(F.col("event_type") == "click").select("event_id", "user_id", "item"), seen, "user_id", "item", "shown").select("event_id", "rank")
+
+
+def events_unclean_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Days of a user with a signup and neither a purchase nor an error, one of them aside."""
+    e = _events(spark, d)
+    return E.unclean_runs(e.withColumn("run", F.concat_ws(":", "user_id", F.date_format("ts", "yyyy-MM-dd"))), "run", "event_type", "signup", ["purchase", "error"], "1:2024-01-01")
+
+
+def events_calls(spark: SparkSession, d: str) -> DataFrame:
+    return E.call_statistics(_events(spark, d), "event_type", "ts", "event_id", "value", F.col("value") > 90)
+
+
+def events_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return E.distribution(_events(spark, d), "event_type", "value")
+
+
+def events_medians(spark: SparkSession, d: str) -> DataFrame:
+    return E.medians(_events(spark, d), "user_id", "value")
+
+
 def _stream(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, str]:
     rows = _events(spark, d)
     return stream.read_stream(spark, f"{d}/events.parque[t]", rows.schema), shared_path(spark, name)
@@ -123,7 +155,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         events_reformulations, events_repeats, events_daily, events_percentiles, events_percentile_variants, events_last_value, events_union_without, events_cost,
-        events_offenders, events_state_changes, events_silences, events_suspects, events_zero_errors, events_trace, events_halves, stream_daily_counts, stream_chains,
+        events_correlated, events_clicked_ranks, events_unclean_runs, events_calls, events_distribution, events_medians, events_offenders, events_state_changes, events_silences, events_suspects, events_zero_errors, events_trace, events_halves, stream_daily_counts, stream_chains,
     )
 }
 
@@ -137,6 +169,12 @@ def _percentile_sql(key: str, source: str, shares: dict[str, str], variant: str)
 
 _ROUND, _CEIL = "floor(n * {p}::DOUBLE + 0.5) - 1", "ceil(n * {p}::DOUBLE) - 1"
 SQL = {
+    "events_correlated": "WITH p AS (SELECT user_id, arg_max_null(event_id, (ts, event_id)) AS e, arg_max_null(value, (ts, event_id)) AS v FROM events WHERE event_type = 'purchase' GROUP BY user_id) SELECT event_id, user_id, e AS answer_event_id, v AS answer_value FROM events LEFT JOIN p USING (user_id) WHERE event_type = 'view'",
+    "events_clicked_ranks": "WITH x AS (SELECT *, json_extract_string(props, '$.k') AS item FROM events), s AS (SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY max(event_id) DESC) AS rank FROM x WHERE event_type = 'view' GROUP BY user_id, item) SELECT event_id, rank FROM x LEFT JOIN s USING (user_id, item) WHERE event_type = 'click'",
+    "events_unclean_runs": "SELECT run FROM (SELECT user_id::VARCHAR || ':' || strftime(ts, '%Y-%m-%d') AS run, event_type FROM events) WHERE run <> '1:2024-01-01' GROUP BY run HAVING bool_or(event_type = 'signup') AND NOT bool_or(event_type IN ('purchase', 'error'))",
+    "events_calls": "WITH a AS (SELECT event_type AS key, count(*) AS calls, count(*) FILTER (value > 90) AS failures FROM events GROUP BY 1), w AS (" + _percentile_sql("event_type", "events", {"p95": "0.95::DOUBLE"}, "ceil(n * {p}) - 1") + "), r AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 50), l AS (" + _percentile_sql("event_type", "r", {"recent_p50": "0.5::DOUBLE"}, "ceil(n * {p}) - 1") + ") SELECT key, calls, failures, p95, recent_p50 FROM a LEFT JOIN w USING (key) LEFT JOIN l USING (key)",
+    "events_distribution": "WITH w AS (" + _percentile_sql("event_type", "events", {f"p{p}": f"{p / 100}::DOUBLE" for p in (50, 75, 90, 95, 99)}, "round_even((n - 1) * {p}, 0)") + ") SELECT key, n, p50, p75, p90, p95, p99, (SELECT max(value) FROM events WHERE event_type = key AND value > 0) AS max FROM w",
+    "events_medians": _percentile_sql("user_id", "events", {"median": "0.5::DOUBLE"}, "floor(n * {p})"),
     "stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS kind, count(*) AS n FROM events GROUP BY ALL",
     "stream_chains": f"WITH {_LINKED}, r AS (SELECT *, last_value(CASE WHEN g IS NULL OR g > 3600 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM l) SELECT event_id, CASE WHEN g <= 3600 THEN 'rg_' || f END AS group_id, CASE WHEN g <= 3600 THEN pe END AS previous_id, CASE WHEN g <= 3600 THEN g END AS gap FROM r",
     "events_reformulations": f"WITH {_LINKED}, r AS (SELECT *, last_value(CASE WHEN g IS NULL OR g > 3600 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM l) SELECT event_id, CASE WHEN g <= 3600 THEN 'rg_' || f END AS group_id, CASE WHEN g <= 3600 THEN pe END AS previous_id, CASE WHEN g <= 3600 THEN levenshtein(event_type, pt) END AS edits, CASE WHEN g <= 3600 THEN g END AS gap FROM r",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.codes import denoted_code, denoted_sql, family_key
-from marlstone.operators import datasets, quality
+from marlstone.operators import datasets, events, quality
 from marlstone.queries_text import SQL as TEXT_SQL
 from marlstone.queries_text import vector_nearest
 from marlstone.tables import table
@@ -75,6 +75,43 @@ def quality_grade_summary(spark: SparkSession, d: str) -> DataFrame:
     return quality.grade_summary(_pairs(spark, d), "source", "label", "pairid", 500).withColumnRenamed("group", "source")
 
 
+def quality_binary_dcg(spark: SparkSession, d: str) -> DataFrame:
+    return quality.binary_dcg(_ranked(spark, d), _truth(spark, d), 10, 3)
+
+
+def quality_cohort_margin(spark: SparkSession, d: str) -> DataFrame:
+    """Grades of the pairs with long queries against those with short ones, by source."""
+    rows = _pairs(spark, d).withColumn("mine", F.col("size") > 16).withColumn("foil", F.col("size") < 10)
+    return quality.cohort_margin(rows, "source", "mine", "foil", "label")
+
+
+def quality_case_summary(spark: SparkSession, d: str) -> DataFrame:
+    truth = _truth(spark, d)
+    return quality.case_summary(_ranked(spark, d), truth.where("label = 3"), truth.where("label = 0"))
+
+
+def quality_list_sizes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "companies").withColumn("products", F.col("mainproducts.name"))
+    return quality.list_sizes(rows, ["concepts", "products"])
+
+
+def quality_offenders(spark: SparkSession, d: str) -> DataFrame:
+    """Companies shown within the first twenty for many queries at a poor grade."""
+    rows = _pairs(spark, d).where(F.col("code").isNotNull()).withColumn("place", F.pmod("pairid", F.lit(40)).cast("int") + 1)
+    return events.offenders_by_grade(rows, "code", "query_id", "label", "place", 3, 2.0)
+
+
+def quality_irrelevant(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pairs(spark, d).where(F.col("code").isNotNull()).withColumn("place", F.pmod("pairid", F.lit(40)).cast("int") + 1)
+    return events.plainly_irrelevant(rows, "code", "queryfamily", "label", "place", "size")
+
+
+def dataset_missing_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Splits and sources that lack rows of label 0 or 3."""
+    rows = _pairs(spark, d).withColumn("assigned", datasets.split_of(F.col("pairid"))).withColumn("family", family_key(F.col("queryfamily"))).where(F.col("family").isNotNull())
+    return datasets.missing_labels(rows, ["assigned", "family"], "label", [0, 3]).withColumn("missing", F.array_join("missing", ","))
+
+
 def dataset_frozen(spark: SparkSession, d: str) -> DataFrame:
     """Training pairs that could be held out, and why others can't."""
     rows = table(spark, d, "v4_2_train_pairs_a").select("pairid", "query", "label", "evidence", "split")
@@ -139,7 +176,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         quality_metrics, quality_weighted, quality_inversions, quality_rank_correlation, quality_run_comparison, quality_transitions, quality_variance_share, quality_wrongly_above, quality_grade_summary, dataset_frozen, dataset_hash_split, dataset_isolated_splits,
-        dataset_leaks, dataset_stratified, dataset_hash_sample, dataset_round_robin, dataset_duplicates, dataset_capped_levels, dataset_truth, dataset_family_rollup,
+        quality_binary_dcg, quality_cohort_margin, quality_case_summary, quality_list_sizes, quality_offenders, quality_irrelevant, dataset_missing_labels, dataset_leaks, dataset_stratified, dataset_hash_sample, dataset_round_robin, dataset_duplicates, dataset_capped_levels, dataset_truth, dataset_family_rollup,
     )
 }
 
@@ -149,6 +186,13 @@ _P = f"p AS (SELECT pairid, label, split, source, query_id, queryfamily, length(
 _BUCKET = "(('0x' || substr(sha256('split:' || {k}::VARCHAR), 1, 12))::BIGINT % 10)"
 _SPLIT = f"CASE WHEN {_BUCKET} < 1 THEN 'test' WHEN {_BUCKET} < 2 THEN 'validation' ELSE 'train' END"
 SQL = {
+    "quality_binary_dcg": f"WITH {_NEAR}, {_TRUTH} SELECT query, round(sum(CASE WHEN label >= 3 THEN 1.0::DOUBLE ELSE 0 END / log2(rank + 1)), 6) AS dcg FROM ranked LEFT JOIN truth USING (query, item) WHERE rank <= 10 GROUP BY query",
+    "quality_cohort_margin": f"WITH {_P}, m AS (SELECT source, max(label) FILTER (size > 16) AS mine_best, round(avg(label) FILTER (size > 16), 6) AS mine_mean, max(label) FILTER (size < 10) AS foil_best, round(avg(label) FILTER (size < 10), 6) AS foil_mean FROM p GROUP BY source) SELECT *, round(mine_mean - foil_mean, 6) AS margin FROM m",
+    "quality_case_summary": f"WITH {_NEAR}, {_TRUTH} SELECT query, " + ", ".join(f"coalesce(bool_or(label = 3 AND rank <= {k}), false) AS hit_{k}" for k in (1, 5, 10)) + ", coalesce(bool_or(label = 0 AND (rank <= 10 OR score >= 0.6)), false) AS intruded FROM ranked LEFT JOIN truth USING (query, item) GROUP BY query",
+    "quality_list_sizes": "WITH l AS (SELECT 'concepts' AS list, coalesce(concepts, []) AS x FROM companies UNION ALL SELECT 'products', list_transform(coalesce(mainproducts, []), lambda s: s.name) FROM companies) SELECT list, count(*) FILTER (len(x) > 0) AS rows, sum(len(x)) AS members, max(len(list_distinct(x)) + CASE WHEN list_contains(list_transform(x, lambda v: v IS NULL), true) THEN 1 ELSE 0 END) AS most, round(avg(len(list_distinct(x)) + CASE WHEN list_contains(list_transform(x, lambda v: v IS NULL), true) THEN 1 ELSE 0 END) FILTER (len(x) > 0), 6) AS mean FROM l GROUP BY list",
+    "quality_offenders": f"WITH {_P} SELECT code, count(DISTINCT query_id) AS queries, round(avg(label), 6) AS mean_grade FROM p WHERE code IS NOT NULL AND pairid % 40 + 1 <= 20 AND label IS NOT NULL GROUP BY code HAVING count(DISTINCT query_id) >= 3 AND round(avg(label), 6) < 2",
+    "quality_irrelevant": f"WITH {_P} SELECT code, count(*) AS n, round(avg(pairid % 40 + 1), 6) AS mean_rank, round(avg(size), 6) AS mean_score, count(DISTINCT queryfamily) AS families, count(*) FILTER (label = 0) AS l0, count(*) FILTER (label = 1) AS l1 FROM p WHERE code IS NOT NULL AND label <= 1 GROUP BY code",
+    "dataset_missing_labels": f"WITH {_P}, s AS (SELECT {_SPLIT.format(k='pairid')} AS assigned, regexp_replace(upper(queryfamily), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS family, label FROM p WHERE queryfamily IS NOT NULL), g AS (SELECT assigned, family, concat_ws(',', CASE WHEN NOT coalesce(bool_or(label = 0), false) THEN '0' END, CASE WHEN NOT coalesce(bool_or(label = 3), false) THEN '3' END) AS missing FROM s GROUP BY ALL) SELECT * FROM g WHERE missing <> ''",
     "quality_run_comparison": f"WITH {_NEAR}, b AS (SELECT * FROM ranked), a AS (SELECT query, item, rank - (item % 2) AS rank, score FROM ranked WHERE item % 7 <> 0), x AS (SELECT query, item, rank FROM b WHERE rank <= 10), y AS (SELECT query, item, rank FROM a WHERE rank <= 10), "
     "n AS (SELECT query, count(*) AS n, arg_min(item, (rank, item)) AS top FROM x GROUP BY query), m AS (SELECT query, arg_min(item, (rank, item)) AS top FROM y GROUP BY query), "
     "f AS (SELECT coalesce(x.query, y.query) AS query, x.item AS xi, y.item AS yi FROM x FULL JOIN y USING (query, item)), "
