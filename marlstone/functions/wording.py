@@ -115,7 +115,7 @@ def labelled_lines(parts: list[tuple[str, Column]], cap: int, tail: tuple[str, C
 def ordered_once(lists: list[Column], drop: str, most: int) -> Column:
     """The members of several lists in order, trimmed, without blanks and those that match ``drop``, each once, at most ``most``."""
     every = F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists])
-    return F.slice(F.array_distinct(F.filter(F.transform(every, F.trim), lambda x: (F.length(x) > 0) & ~x.rlike(drop))), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(every, lambda x: F.trim(x)), lambda x: (F.length(x) > 0) & ~x.rlike(drop))), 1, most)
 
 
 def by_dimension(items: Column, order: list[str], dimension: str) -> Column:
