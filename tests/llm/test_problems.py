@@ -36,6 +36,17 @@ def test_cleaned_and_codes():
     assert sorted(set(all_codes(["abcd", "ab", "", "xabc"], 3).tolist())) == sorted({*shingle_codes("abcd", 3).tolist(), *shingle_codes("xabc", 3).tolist()})
 
 
+def test_codes_of_many_texts_are_those_of_each():
+    rng = random.Random(26)
+    texts = ["".join(rng.choice("甲乙丙ab") for _ in range(rng.randint(0, 30))) for _ in range(200)] + ["", "甲", "甲乙", "aaaa"]
+    for n in (1, 2, 3):
+        flat, sizes = near_duplicates.codes_of_each(texts, n)
+        ends = np.cumsum(sizes)
+        for t, a, b in zip(texts, (ends - sizes).tolist(), ends.tolist(), strict=True):
+            assert flat[a:b].tolist() == shingle_codes(t, n).tolist()
+    assert len(near_duplicates.codes_of_each([], 3)[0]) == 0
+
+
 # problem 1
 
 
