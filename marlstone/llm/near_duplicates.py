@@ -171,19 +171,23 @@ def posted_in_full_buckets(counts: np.ndarray, sets: list[np.ndarray], sizes: np
 def may_post_full(texts: list[str], n: int, counts: np.ndarray, threshold: float) -> np.ndarray:
     """For each text, whether its prefix may hold a token of a bucket with more than HOT occurrences; never false where it does.
 
-    Distinct rarer tokens are counted in ``SLOTS`` slots a text: at most as many as there are. Repeats only lengthen the prefix reckoned with.
+    Distinct rarer tokens are counted at every second place, in ``SLOTS`` slots a text: at most as many as there are. Repeats only
+    lengthen the prefix reckoned with.
     """
-    joined = np.frombuffer("\0".join([*texts, "\0" * n]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    code, inside, end = joined[: len(joined) - n + 1].copy(), joined[: len(joined) - n + 1] != 0, len(joined) - n + 1
+    joined = np.frombuffer("\0".join([*texts, "\0" * (n + 1)]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    end = len(joined) - n
+    code, inside = joined[:end:2].copy(), joined[:end:2] != 0
     for k in range(1, n):
-        code = (code << 21) | joined[k : end + k]
-        inside &= joined[k : end + k] != 0
-    doc = (np.cumsum(joined == 0)[:end])[inside]
+        part = joined[k : end + k : 2]
+        code = (code << 21) | part
+        inside &= part != 0
+    doc = (np.cumsum(joined == 0)[:end:2])[inside]
     token = _mixed(code[inside])
     rare = counts[_bucket(token, len(counts))] <= HOT
     slots = np.zeros(len(texts) * SLOTS, dtype=bool)
     slots[doc[rare] * SLOTS + (token[rare] % np.uint64(SLOTS)).astype(np.int64)] = True
-    return slots.reshape(-1, SLOTS).sum(axis=1) < _prefix(np.bincount(doc, minlength=len(texts)), threshold)
+    most = np.maximum(np.array([len(t) for t in texts], dtype=np.int64) - n + 1, 0)
+    return slots.reshape(-1, SLOTS).sum(axis=1) < _prefix(most, threshold)
 
 
 class Poster:
