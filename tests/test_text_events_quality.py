@@ -32,9 +32,9 @@ def test_masks_and_corruption(spark):
 
 
 def test_window_snaps_to_sentences(spark):
-    text = "甲" * 30 + "。" + "乙" * 50 + "产能" + "丙" * 70 + "。" + "丁" * 30
+    text = "甲" * 30 + "。" + "乙" * 50 + "产能" + "丙" * 110 + "。" + "丁" * 30
     got = one(spark, C.snap_window(F.col("t"), F.call_function("locate", F.lit("产能"), F.col("t")), F.lit(2)), text)
-    assert got == "甲" * 30 + "。" + "乙" * 50 + "产能" + "丙" * 70 + "。"
+    assert got == "甲" * 30 + "。" + "乙" * 50 + "产能" + "丙" * 110 + "。"
 
 
 def test_folds(spark):
