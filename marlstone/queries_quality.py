@@ -9,6 +9,7 @@ from marlstone.functions.codes import denoted_code, denoted_sql, family_key
 from marlstone.operators import datasets, events, quality
 from marlstone.queries_text import SQL as TEXT_SQL
 from marlstone.queries_text import vector_nearest
+from marlstone.runtime import BROADCAST_ROWS, within
 from marlstone.tables import table
 
 
@@ -19,9 +20,10 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
 def _truth(spark: SparkSession, d: str) -> DataFrame:
     """Label 3 for the same cluster, 2 for its neighbours, 0 for an even distance, else 1: for each stated query, all rows."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").alias("l"))
-    asked = F.broadcast(table(spark, d, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query"), F.col("label").alias("q"), F.sequence(F.lit(0), F.lit(9)).alias("of")))
+    asked = table(spark, d, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query"), F.col("label").alias("q"), F.sequence(F.lit(0), F.lit(9)).alias("of"))
     # every label meets every query through the ten labels there are
-    pairs = asked.select("query", "q", F.explode("of").alias("l")).join(rows, "l")
+    few = asked.select("query", "q", F.explode("of").alias("l"))
+    pairs = (F.broadcast(few) if within(few, BROADCAST_ROWS) else few).join(rows, "l")
     gap = F.abs(F.col("l") - F.col("q"))
     return pairs.select("query", "item", F.when(gap == 0, 3).when(gap == 1, 2).when(gap % 2 == 0, 0).otherwise(1).alias("label"))
 
