@@ -19,7 +19,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables here")
-@pytest.mark.parametrize("name", ["text_bm25", "fused_constraints", "fused_rrf"])
+@pytest.mark.parametrize("name", ["text_bm25", "fused_constraints", "fused_rrf", "discovery_nominated"])
 def test_documents_and_queries_arent_joined_by_term(spark, monkeypatch, name):
     seen, staged = [], retrieval.staged
 
@@ -80,6 +80,20 @@ def test_bm25_equals_brute_force(spark, monkeypatch):
     assert ranked(spark, retrieval.bm25, [(1, None), (2, "")], asked) == {} and ranked(spark, retrieval.bm25, docs, [(1, None)]) == {}
 
 
+def test_idf_overlap_equals_brute_force(spark):
+    docs, asked, sets, tf, df, n, _ = tables(spark)
+    weight = {x: math.log((n + 1) / (df[x] + 0.5)) if df[x] else math.log(n + 1) for t in sets.values() for x in t}
+    scores = Counter()
+    for q, terms in sets.items():
+        for d, _size, x in tf:
+            if x in terms:
+                scores[q, d] += weight[x] / sum(weight[t] for t in terms)
+    want = best(scores, 4)
+    near(ranked(spark, retrieval.idf_overlap, docs, asked), want)
+    near(ranked(spark, retrieval.idf_overlap, docs, asked, block=7), want)
+    assert ranked(spark, retrieval.idf_overlap, [(1, None), (2, "")], asked) == {} and ranked(spark, retrieval.idf_overlap, docs, [(1, None)]) == {}
+
+
 def test_best_is_kept_over_batches():
     """The bound that leaves sets out, and ties between batches that come in any order of ids."""
     import numpy as np
