@@ -19,7 +19,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables here")
-@pytest.mark.parametrize("name", ["text_bm25", "fused_constraints", "fused_rrf", "discovery_nominated", "discovery_audit", "discovery_pipeline", "fused_blend", "text_idf_overlap", "discovery_dropped", "discovery_targets"])
+@pytest.mark.parametrize("name", ["text_bm25", "fused_constraints", "fused_rrf", "discovery_nominated", "discovery_audit", "discovery_pipeline", "fused_blend", "text_idf_overlap", "discovery_dropped", "discovery_targets", "fused_match_count"])
 def test_documents_and_queries_arent_joined_by_term(spark, monkeypatch, name):
     seen, staged = [], retrieval.staged
 
