@@ -30,11 +30,14 @@ def query_specs(queries: DataFrame, query: str, text: str, concepts: list[str],
 
 def excluded(candidates: DataFrame, specs: DataFrame, docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """``candidates`` (query, doc, ...) with ``dropped``: why a document may not be shown, the first of the query's exclusions whose
-    pattern its text meets, or ``share`` where the query demands one that the document lacks; null keeps it. ``docs`` has doc, text, share."""
-    rows = join_lookup(candidates, specs.select("query", "exclusions", "least_share"), ["query"], "left").join(docs.select("doc", F.col("text").alias("_t"), F.col("share").alias("_s")), "doc", "left")
-    named = F.coalesce(*[F.when(F.array_contains("exclusions", n) & F.col("_t").rlike(p), F.lit(n)) for n, p in patterns.items()], F.lit(None).cast("string"))
+    pattern its text meets, or ``share`` where the query demands one that the document lacks; null keeps it. ``docs`` has doc, text, share;
+    patterns are looked for where texts are read, so no text is joined."""
+    met = {n: f"_met_{i}" for i, n in enumerate(patterns)}
+    held = docs.select("doc", F.col("share").alias("_s"), *[F.col("text").rlike(p).alias(met[n]) for n, p in patterns.items()])
+    rows = join_lookup(candidates, specs.select("query", "exclusions", "least_share"), ["query"], "left").join(held, "doc", "left")
+    named = F.coalesce(*[F.when(F.array_contains("exclusions", n) & F.col(m), F.lit(n)) for n, m in met.items()], F.lit(None).cast("string"))
     short = F.col("least_share").isNotNull() & F.coalesce(F.col("_s") < F.col("least_share"), F.lit(True))
-    return rows.withColumn("dropped", F.coalesce(named, F.when(short, "share"))).drop("_t", "_s", "exclusions", "least_share")
+    return rows.withColumn("dropped", F.coalesce(named, F.when(short, "share"))).drop(*met.values(), "_s", "exclusions", "least_share")
 
 
 def fused_with_audit(channels: dict[str, DataFrame], dropped: DataFrame | None = None, k: int = 200, constant: int = 60) -> DataFrame:

@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 from marlstone import queries_discovery
 from marlstone.functions import lexical
 from marlstone.functions.columns import lex_tokens
-from marlstone.operators import retrieval
+from marlstone.operators import discovery, retrieval
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -109,3 +109,37 @@ def test_best_is_kept_over_batches():
         got = [(int(q), int(d), float(s)) for qs, ds, ss in b.found() for q, d, s in zip(qs, ds, ss, strict=True)]
         want = [(q, d, -s) for q, own in enumerate(b.sets) for s, d in sorted((-round(float(w[own].sum()), 6), int(i)) for i, w in zip(ids, weights, strict=True) if w[own].sum() > 0)[:5]]
         assert [(q, d) for q, d, _ in got] == [(q, d) for q, d, _ in want] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want, strict=True))
+
+
+def nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from nodes(plan.children().apply(i))
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables here")
+@pytest.mark.parametrize("name", ["discovery_dropped"])
+def test_no_text_is_joined(spark, monkeypatch, name):
+    """Whether a document meets a pattern is told where its text is read; joins and their shuffles get that, not the text."""
+    seen, staged = [], queries_discovery.staged
+
+    def noted(df, kind):
+        seen.append(df)
+        return staged(df, kind)
+
+    monkeypatch.setattr(queries_discovery, "staged", noted)
+    seen.append(entry.queries()[name](spark, FOLDER))
+    plans = [df._jdf.queryExecution().optimizedPlan() for df in seen]
+    assert any("RLIKE" in p.toString() for p in plans)
+    for join in (n for p in plans for n in nodes(p) if n.nodeName() == "Join"):
+        kept = join.output()
+        assert not {"text", "_t"} & {kept.apply(i).name() for i in range(kept.size())}
+
+
+def test_excluded_tells_the_first_pattern_met(spark):
+    pairs = spark.createDataFrame([(q, d) for q in (1, 2, 3, 4) for d in (10, 11, 12, 13)], "query long, doc long")
+    specs = spark.createDataFrame([(1, ["b", "a"], None), (2, ["b"], 0.5), (3, [], None)], "query long, exclusions array<string>, least_share double")
+    docs = spark.createDataFrame([(10, "x y", 0.7), (11, "y", 0.2), (12, None, None)], "doc long, text string, share double")
+    got = {(r["query"], r["doc"]): r["dropped"] for r in discovery.excluded(pairs, specs, docs, {"a": "x", "b": "y|z"}).collect()}
+    want = {(1, 10): "a", (1, 11): "b", (2, 10): "b", (2, 11): "b", (2, 12): "share", (2, 13): "share"}
+    assert got == {(q, d): want.get((q, d)) for q in (1, 2, 3, 4) for d in (10, 11, 12, 13)}
