@@ -118,7 +118,7 @@ def nodes(plan):
 
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables here")
-@pytest.mark.parametrize("name", ["discovery_dropped", "discovery_audit"])
+@pytest.mark.parametrize("name", ["discovery_dropped", "discovery_audit", "discovery_pipeline"])
 def test_no_text_is_joined(spark, monkeypatch, name):
     """Whether a document meets a pattern is told where its text is read; joins and their shuffles get that, not the text."""
     seen, staged = [], queries_discovery.staged
